@@ -33,7 +33,7 @@ GROUPS: dict[str, str] = {
         vendedor* repartidor* dueno duena quien cliente clientes comprador* empleado* equipo jefe
     """,
     "violence": """
-        kill* murder* beat beaten smash* slap slapped slaps choke choking strangle* stab* punch* dies dead burn drown* hurt hurts bleed suffer whip* kick* crush* cries
+        kill* murder* beat beaten smash* slap slapped slaps choke choking strangle* stab stabbed punch punched dies dead burn drown* hurt hurts bleed suffer whip* kick* crush* cries
         erstick* verprugel* umbring* verreck* brech* breche schlage schlagen erschlag* aufhangen aufgehangt anzund* krepier* heult totschlag* prugel*
         casser frapper etouff* crever tuer bruler gifler pendre tabasser pleure egorger claque claques
         romper pegar ahog* matar morir quemar golpear llore paliza reventar partir abofetear muere
