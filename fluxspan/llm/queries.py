@@ -61,7 +61,7 @@ def p8_source_rates(spark, d):
     return moderation.source_rates(_scored(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p3_percentiles, p3_daily_percentiles, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_scores, p8_source_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p3_daily_percentiles, p3_percentiles, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_scores, p8_source_rates)}
 
 
 # -- SQL ------------------------------------------------------------------
