@@ -10,6 +10,8 @@ so a flight with any number of records never has to fit into one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +25,7 @@ CHUNK = 65_536  # flight rows by which records are put into chunks
 MAX_GAP = 50
 BLOCK = 512
 
+_COLUMNS = ("flight_id", "run_chunk", "run_no", "maneuver", "heading", "start_idx", "end_idx", "n_records")
 _PARTS = "flight_id bigint, run_chunk bigint, run_no int, maneuver string, heading string, start_idx bigint, end_idx bigint, n_records bigint"
 
 
@@ -67,40 +70,78 @@ def chunk_carries(records: DataFrame) -> DataFrame:
     so_far = W.Window.partitionBy("flight_id", "chain").orderBy("chunk")
     known = chained.withColumn("upto", F.max("tail_end").over(so_far))
     return known.select(
-        F.col("flight_id").alias("c_flight"),
-        F.col("chunk").alias("c_chunk"),
+        "flight_id",
+        "chunk",
         F.lag("last").over(by_chunk).alias("c_label"),
         F.lag("upto").over(by_chunk).alias("c_end"),
     )
 
 
-def _collapse_chunk(key, pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-    """Partial runs of one chunk.  ``run_no`` 0 with records is the part that
-    continues a run of an earlier chunk."""
-    flight, chunk = key
-    if not len(pdf):
-        return pd.DataFrame({c: [] for c in ("flight_id", "run_chunk", "run_no", "maneuver", "heading", "start_idx", "end_idx", "n_records")})
-    pdf = pdf.fillna({"m": "", "h": ""}).sort_values(["start_idx", "end_idx", "m", "h", "tie_m", "tie_h"], kind="stable")
+_ORDER = ["flight_id", "chunk", "start_idx", "end_idx", "m", "h", "tie_m", "tie_h"]
+
+
+def collapse_sorted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Partial runs of whole, sorted chunks.  ``run_no`` counts from 1 within a
+    chunk; 0 is the part that continues a run of an earlier chunk."""
+    flight, chunk = pdf["flight_id"].to_numpy(), pdf["chunk"].to_numpy()
     label, start, end = pdf["label"].to_numpy(dtype=object), pdf["start_idx"].to_numpy(), pdf["end_idx"].to_numpy()
-    had = len(carry) and isinstance(carry["c_label"].iloc[0], str)
-    before = np.concatenate([np.array([carry["c_label"].iloc[0] if had else None], object), label[:-1]])
+    n = len(pdf)
+    opens = np.r_[True, (flight[1:] != flight[:-1]) | (chunk[1:] != chunk[:-1])]
+    before = np.empty(n, object)
+    before[1:] = label[:-1]
+    before[opens] = pdf["c_label"].to_numpy(dtype=object)[opens]
     changed = label != before
     # largest end so far within the stretch of one label; a gap starts a new run
     # beyond every earlier end, so the stretch serves as well as the run itself
-    stretch = np.cumsum(changed)
-    reach = pd.Series(end).groupby(stretch).cummax().to_numpy()
-    first = np.iinfo(np.int64).min // 2
-    carried = int(carry["c_end"].iloc[0]) if had else first
-    reach = np.where(stretch == 0, np.maximum(reach, carried), reach)
-    reach_before = np.r_[carried, reach[:-1]]
+    never = np.iinfo(np.int64).min // 2
+    carried = pdf["c_end"].fillna(never).to_numpy().astype(np.int64)
+    first = opens & ~changed
+    reach = np.where(first, np.maximum(end, carried), end)
+    reach = pd.Series(reach).groupby(np.cumsum(opens | changed)).cummax().to_numpy()
+    reach_before = np.r_[never, reach[:-1]]
+    reach_before[opens] = carried[opens]
     boundary = changed | (start > reach_before + MAX_GAP) | (label == "")
-    run_starts = np.flatnonzero(boundary)  # sorted run-start positions of this chunk
-    run_no = np.searchsorted(run_starts, np.arange(len(label)), side="right")
+    run_starts = np.flatnonzero(boundary)  # sorted run-start positions
+    position = np.arange(n)
+    run = np.searchsorted(run_starts, position, side="right")
+    at_open = np.flatnonzero(opens)
+    own_open = at_open[np.searchsorted(at_open, position, side="right") - 1]
+    run_no = run - np.searchsorted(run_starts, own_open, side="left")
     known = label != ""
-    parts = pd.DataFrame({"run_no": run_no, "maneuver": pdf["m"].to_numpy(), "heading": pdf["h"].to_numpy(), "start_idx": start, "end_idx": end})[known]
-    out = parts.groupby("run_no", sort=True).agg(maneuver=("maneuver", "first"), heading=("heading", "first"), start_idx=("start_idx", "min"), end_idx=("end_idx", "max"), n_records=("start_idx", "size")).reset_index()
-    out["flight_id"], out["run_chunk"] = flight, chunk
-    return out[["flight_id", "run_chunk", "run_no", "maneuver", "heading", "start_idx", "end_idx", "n_records"]]
+    if not known.any():
+        return pd.DataFrame({c: pd.Series(dtype=object if c in ("maneuver", "heading") else "int64") for c in _COLUMNS})
+    group = np.cumsum(np.r_[True, (run_no[1:] != run_no[:-1]) | opens[1:]])[known]
+    first_of = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    at = np.flatnonzero(known)[first_of]
+    return pd.DataFrame(
+        {
+            "flight_id": flight[at],
+            "run_chunk": chunk[at],
+            "run_no": run_no[at],
+            "maneuver": pdf["m"].to_numpy()[at],
+            "heading": pdf["h"].to_numpy()[at],
+            "start_idx": np.minimum.reduceat(start[known], first_of),
+            "end_idx": np.maximum.reduceat(end[known], first_of),
+            "n_records": np.diff(np.r_[first_of, known.sum()]),
+        }
+    )
+
+
+def _collapse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Chunks arrive sorted; the last one of a batch waits for its remainder."""
+    rest = None
+    for pdf in batches:
+        if rest is not None:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        last = pdf.iloc[-1] if len(pdf) else None
+        if last is None:
+            continue
+        tail = ((pdf["flight_id"] == last["flight_id"]) & (pdf["chunk"] == last["chunk"])).to_numpy()
+        rest = pdf[tail]
+        if not tail.all():
+            yield collapse_sorted(pdf[~tail])
+    if rest is not None and len(rest):
+        yield collapse_sorted(rest)
 
 
 def collapse_runs(segments: DataFrame) -> DataFrame:
@@ -115,7 +156,9 @@ def collapse_runs(segments: DataFrame) -> DataFrame:
     """
     records = usable_records(segments)
     carries = chunk_carries(records)
-    parts = checkpointed(records.groupBy("flight_id", "chunk").cogroup(carries.groupBy("c_flight", "c_chunk")).applyInPandas(_collapse_chunk, _PARTS))
+    # explicit, so that no adaptive change of the join can part the rows of a chunk
+    ready = records.join(carries, ["flight_id", "chunk"], "left").repartition("flight_id", "chunk").sortWithinPartitions(*_ORDER)
+    parts = checkpointed(ready.mapInPandas(_collapse_batches, _PARTS))
     # a part with run_no 0 continues the latest part that began before it
     by_flight = W.Window.partitionBy("flight_id").orderBy("run_chunk")
     edge = parts.groupBy("flight_id", "run_chunk").agg(
