@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fluxspan.plans import data_queries
+from fluxspan.plans import data_queries, flight_queries, flight_sql
 
-QUERIES = {**data_queries.QUERIES}
-SQL = {**data_queries.SQL}
-FLAGSHIP = "p5_found"
+QUERIES = {**flight_queries.QUERIES, **data_queries.QUERIES}
+SQL = {**flight_sql.SQL, **data_queries.SQL}
+FLAGSHIP = "fom_by_flight"
