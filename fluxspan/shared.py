@@ -45,3 +45,10 @@ def overlapping_chunks(position, size: int, halo: int):
             F.when(offset >= size - halo, own + 1),
         )
     )
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over more tasks, where a small input has fewer partitions than
+    the cluster has cores; larger inputs stay as they are read, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(3 * cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
