@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluxspan.shared import spread
+
 Q = 6
 RUN_WORDS = 12
 SHARE = (2, 3)
@@ -326,6 +328,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, id_column: str = "do
     by its share; rows with null ids are left out; repeated rows count once.
     """
     docs = documents.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
+    docs = spread(docs, "doc_id")
     passages = items.where("item_id is not null and passage is not null").select(F.col("item_id").cast("bigint"), "passage").dropDuplicates(["item_id", "passage"])
     n = passages.count()
     found = None

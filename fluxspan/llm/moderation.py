@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxspan.llm.lexicon import GROUPS, PHRASES
+from fluxspan.shared import spread
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 MAX_SAMPLES = 20_000
@@ -376,7 +377,7 @@ def score_documents(documents: DataFrame, model: Moderator, keep: tuple[str, ...
             scores = model.scores(batch.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(scores[c], pa.float64()) for c in CATEGORIES)], names=[*keep, *CATEGORIES])
 
-    return documents.select(*keep, "text").mapInArrow(run, schema)
+    return spread(documents.select(*keep, "text"), keep[0]).mapInArrow(run, schema)
 
 
 def flagged(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
