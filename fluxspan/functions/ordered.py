@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from fluxspan.schema import COL_TIME, FLIGHT, ROW
+from fluxspan.schema import FLIGHT, ROW
 
 CHUNK = 65_536
 
@@ -22,13 +22,15 @@ CHUNK = 65_536
 def with_keys(df: DataFrame) -> DataFrame:
     """Give a single recording its keys.
 
-    A missing ``flight_id`` becomes 0.  A missing ``row_idx`` is numbered by time;
-    that orders one recording in one task, so large inputs should carry it.
+    A missing ``flight_id`` becomes 0.  A missing ``row_idx`` is numbered in the
+    order in which the rows are read; that passes one recording through one
+    task, so large inputs should carry it.
     """
     if FLIGHT not in df.columns:
         df = df.withColumn(FLIGHT, F.lit(0))
     if ROW not in df.columns:
-        df = df.withColumn(ROW, (F.row_number().over(W.Window.partitionBy(FLIGHT).orderBy(COL_TIME)) - 1).cast("int"))
+        placed = df.withColumn("_read", F.monotonically_increasing_id())
+        df = placed.withColumn(ROW, (F.row_number().over(W.Window.partitionBy(FLIGHT).orderBy("_read")) - 1).cast("int")).drop("_read")
     return df
 
 

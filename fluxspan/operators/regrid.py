@@ -25,9 +25,9 @@ CHANNELS = ("b_total", "b_x")
 MAX_PAUSE = 900.0
 CHUNK, HALO = 2048, 1024  # cells; the halo exceeds MAX_PAUSE + 2 cells
 EMBED = 24  # longest Hankel window, in cells
-KEEP_ENERGY = 0.98
-MAX_RANK = 6
-MAX_ROUNDS = 25
+KEEP_ENERGY = 0.9995
+MAX_RANK = 8
+MAX_ROUNDS = 40
 SETTLED = 1e-3
 
 OUTPUT = "flight_id bigint, cell bigint, channel string, value double, status string"

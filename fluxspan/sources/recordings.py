@@ -19,7 +19,7 @@ from fluxspan.schema import FLIGHT, N_TERMS, OPTIONAL_DOUBLES, REQUIRED_COLUMNS,
 def read_csv(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """One recording from CSV.  The known columns are read as double; ``strict``
     infers types instead, so whole-number columns come as integers and fail
-    validation.  Rows are numbered by time."""
+    validation.  Rows are numbered in file order."""
     if strict:
         return with_keys(spark.read.csv(path, header=True, inferSchema=True))
     names = spark.read.csv(path, header=True).columns
