@@ -35,7 +35,8 @@ def value_of(bucket, error: float = ERROR):
     """Representative value of a bucket."""
     g = (1 + error) / (1 - error)
     shift = math.ceil(760 / math.log(g))
-    size = F.lit(2.0) * F.pow(F.lit(g), F.abs(bucket) - F.lit(shift)) / F.lit(g + 1)
+    # from the bucket's lower border, which no value's size can overflow
+    size = F.lit(2 * g / (g + 1)) * F.pow(F.lit(g), F.abs(bucket) - F.lit(shift + 1))
     return F.when(bucket == 0, F.lit(0.0)).otherwise(F.signum(bucket.cast("double")) * size)
 
 

@@ -24,7 +24,8 @@ def p3_percentiles(spark, d):
 
 def p3_daily_percentiles(spark, d):
     daily = quantiles.daily_sketches(table(spark, d, "flight_rows"), table(spark, d, "segments"), table(spark, d, "flights"))
-    return quantiles.percentiles(daily, ["flown_on", "maneuver", "heading"], (5, 50, 95))
+    named = daily.withColumn("flown_on", F.col("flown_on").cast("string"))
+    return quantiles.percentiles(named, ["flown_on", "maneuver", "heading"], (5, 50, 95))
 
 
 def p6_containers(spark, d):
@@ -99,7 +100,7 @@ covered AS (SELECT DISTINCT o.flight_id, o.row_idx, o.delta_b, s.maneuver, s.hea
 
 
 def _percentile_sql(keys: str, percents, source: str) -> str:
-    value = f"CASE WHEN b = 0 THEN 0.0 ELSE sign(b) * 2.0 * pow({_G!r}, abs(b) - 100000) / {_G + 1!r} END"
+    value = f"CASE WHEN b = 0 THEN 0.0 ELSE sign(b) * {2 * _G / (_G + 1)!r} * pow({_G!r}, abs(b) - 100001) END"
     picks = ", ".join(f"min(CASE WHEN upto * 100 >= total * {p} THEN b END) AS b{p}" for p in percents)
     out = ", ".join("round(" + value.replace("(b)", f"(b{p})").replace("b = 0", f"b{p} = 0") + f", 9) AS p{p:02d}" for p in percents)
     return f"""WITH {_LABELLED}, bucketed AS (
@@ -116,5 +117,5 @@ SQL = {
 FROM runs r LEFT JOIN (SELECT flight_id, row_idx, time_s FROM flight_rows WHERE time_s IS NOT NULL AND NOT isnan(time_s)) f ON f.flight_id = r.flight_id AND f.row_idx >= r.start_idx AND f.row_idx < r.end_idx
 GROUP BY ALL""",
     "p3_percentiles": _percentile_sql("maneuver, heading", quantiles.PERCENTS, "covered"),
-    "p3_daily_percentiles": _percentile_sql("flown_on, maneuver, heading", (5, 50, 95), "(SELECT c.*, f.flown_on FROM covered c JOIN (SELECT DISTINCT flight_id, flown_on FROM flights) f ON c.flight_id = f.flight_id)"),
+    "p3_daily_percentiles": _percentile_sql("flown_on, maneuver, heading", (5, 50, 95), "(SELECT c.*, CAST(f.flown_on AS VARCHAR) AS flown_on FROM covered c JOIN (SELECT DISTINCT flight_id, flown_on FROM flights) f ON c.flight_id = f.flight_id)"),
 }
