@@ -53,7 +53,7 @@ def words_of(text: str | None) -> list[str]:
     if "<" in text:
         text = _TAG.sub(lambda m: " " if m[1].lower() in _BREAKING else "", text)
     if "&" in text:
-        text = html.unescape(text)
+        text = html.unescape(text.casefold())  # entities occur in either case
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
         text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Me", "Cf"))

@@ -337,6 +337,9 @@ def pack_documents(documents: DataFrame, plans: DataFrame, tokenizer: str = TOKE
     lookup = lambda d: F.element_at(F.create_map(*[F.lit(x) for c in sorted(d) for x in (c, d[c])]), F.col("class"))
     split = F.pmod(F.xxhash64("doc_id"), lookup(splits)).cast("string")
     keyed = docs.withColumn("shard", F.concat_ws("-", lookup(group).cast("string"), split))
+    # the work lies in the shards, not in their bytes: keep them spread over all cores
+    shards = len({(group[c], s) for c in sizes for s in range(splits[c])})
+    keyed = keyed.repartition(max(1, min(shards, 3 * docs.sparkSession.sparkContext.defaultParallelism), shards // 64), "shard")
     return keyed.groupBy("shard").applyInPandas(lambda key, pdf: pack_shard(pdf, key[0], chosen, df, n_docs), PLACED)
 
 

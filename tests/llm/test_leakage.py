@@ -58,6 +58,7 @@ def test_search_equals_definition(seed):
 def test_words():
     assert words_of("Café<br/>WA­TER <b>a</b>b &amp; x​y_z STRASSE straße") == ["cafe", "water", "ab", "xy", "z", "strasse", "strasse"]
     assert words_of(None) == words_of("") == []
+    assert words_of("A&NBSP;b &Eacute;") == ["a", "b", "e"]
     assert words_of("2 < 3 and 4 > 1") == ["2", "3", "and", "4", "1"]
 
 
