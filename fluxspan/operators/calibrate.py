@@ -61,7 +61,7 @@ def stacked(df: DataFrame, segments: DataFrame, config: PipelineConfig) -> DataF
     return add_features(rows_in_segments(df, segments), config, (FLIGHT, "seg_ord"))
 
 
-def fold_blocks(segments: DataFrame, keys: list[str], k: int) -> DataFrame:
+def stacked_offsets(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Per segment: its offset in the stacked order of its group (flight, then
     segment order) and the size of the group, from which rows know their block."""
     names = {"heading": "seg_heading", "maneuver": "seg_maneuver"}
@@ -76,7 +76,7 @@ def _with_block(rows: DataFrame, segments: DataFrame, keys: list[str], config: P
     if not config.use_cv:
         return rows.withColumn("block", F.lit(0))
     k = config.cv_folds
-    placed = rows.join(fold_blocks(segments, keys, k), [FLIGHT, "seg_ord"])
+    placed = rows.join(stacked_offsets(segments, keys), [FLIGHT, "seg_ord"])
     size = F.floor(F.col("_total") / (k + 1))
     at = F.col("_ahead") + F.col(ROW) - F.col("start_idx") - (F.col("_total") - k * size)
     return placed.withColumn("block", F.when(at < 0, 0).otherwise(F.floor(at / size) + 1).cast("int")).drop("_ahead", "_total")

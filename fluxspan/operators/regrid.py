@@ -75,7 +75,6 @@ def fill_cells(cell: np.ndarray, first: np.ndarray, last: np.ndarray, mean: np.n
     of their first and last reading, ``mean`` their value (NaN where no finite
     reading stands in it).
     """
-    empty = np.diff(cell) - 1
     joined = first[1:] - last[:-1] <= max_pause
     cells, values, filled = [], [], []
     borders = np.r_[0, np.flatnonzero(~joined) + 1, len(cell)]
@@ -91,7 +90,6 @@ def fill_cells(cell: np.ndarray, first: np.ndarray, last: np.ndarray, mean: np.n
         cells.append(grid)
         values.append(x)
         filled.append(vacant)
-    assert len(empty) == len(joined)
     return np.concatenate(cells), np.concatenate(values), np.concatenate(filled)
 
 

@@ -10,7 +10,7 @@ from fluxspan.functions.ordered import with_keys, with_neighbours
 from fluxspan.operators.calibrate import AdaptiveCalibrationResult, CalibrationResult, HeadingCalibrationResult
 from fluxspan.operators.features import add_features, dot, with_cosines
 from fluxspan.operators.segments import assign_heading_bin, bin_centres_from_ref
-from fluxspan.schema import COL_BTOTAL, COL_HEADING, COL_TMI_COMPENSATED, COSINES, FLIGHT, N_TERMS, RATES, TERMS
+from fluxspan.schema import COL_BTOTAL, COL_HEADING, COL_TMI_COMPENSATED, COSINES, FLIGHT, N_TERMS, TERMS
 
 
 def _check(n_terms: int, config: PipelineConfig) -> list[str]:
@@ -96,7 +96,6 @@ def compensate_by_model(df: DataFrame, models: DataFrame, config: PipelineConfig
 
 
 def cosine_frame(df: DataFrame) -> DataFrame:
+    """Keyed rows with direction cosines, the input of the two functions above."""
     return with_cosines(with_keys(df))
 
-
-FEATURE_COLUMNS = (*COSINES, *RATES)

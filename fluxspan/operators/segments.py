@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxspan.config import PipelineConfig
 from fluxspan.functions.ordered import gradient, running_sum, slopes, with_keys, with_neighbours, wrapped
-from fluxspan.schema import COL_HEADING, COL_PITCH, COL_ROLL, COL_TIME, FLIGHT, HEADINGS, MANEUVERS, ROW
+from fluxspan.schema import COL_HEADING, COL_PITCH, COL_ROLL, COL_TIME, FLIGHT, HEADINGS, MANEUVERS, ROW, SEGMENTS_DDL
 
 STEADY_RATE = 1.0  # deg/s; fixed value
 BLOCK = 1024
 
 
+@dataclass(frozen=True)
+class Segment:
+    """One window of a recording: ``start_idx`` inclusive, ``end_idx`` exclusive."""
+
+    maneuver: str
+    heading: str
+    start_idx: int
+    end_idx: int
+
+
+def segments_frame(spark: SparkSession, segments: Iterable[Segment], flight_id: int = 0) -> DataFrame:
+    """A given list of windows of one recording, in its order."""
+    return spark.createDataFrame([(flight_id, i + 1, s.maneuver, s.heading, s.start_idx, s.end_idx) for i, s in enumerate(segments)], SEGMENTS_DDL)
+
+
 # -- headings ---------------------------------------------------------------
 def folded_mean(headings: DataFrame, keys=(FLIGHT,), column: str = COL_HEADING) -> DataFrame:
     """Circular mean of headings folded into a quarter turn, per key."""
@@ -188,6 +204,3 @@ def steady_rows(df: DataFrame, segments: DataFrame) -> DataFrame:
     steady = rows_in_segments(keyed.select(FLIGHT, ROW), segments.where("maneuver = 'steady'")).select(FLIGHT, ROW).distinct()
     return keyed.join(steady.withColumn("_steady", F.lit(True)), [FLIGHT, ROW], "left").withColumn("steady", F.coalesce("_steady", F.lit(False))).drop("_steady")
 
-
-def circular_distance(a: float, b: float) -> float:
-    return abs(math.remainder(a - b, 360.0))

@@ -5,17 +5,17 @@ engines."""
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from fluxspan.config import PipelineConfig
-from fluxspan.functions.ordered import with_keys
 from fluxspan.operators import linalg, nn, rls
 from fluxspan.operators.baseline import compute_interference
-from fluxspan.operators.calibrate import CalibrationResult, calibrate, calibrate_adaptive_maneuvers, calibrate_per_heading, fit_models, stacked, tree_reduced
+from fluxspan.operators.calibrate import calibrate, calibrate_adaptive_maneuvers, calibrate_per_heading, fit_models, stacked, tree_reduced
 from fluxspan.operators.features import add_features, build_feature_matrix, with_cosines
 from fluxspan.operators.fom import fom_table
 from fluxspan.operators.score import blend_weights, compensate, compensate_adaptive, compensate_by_model, compensate_heading_specific, cosine_frame, rolling_variance
-from fluxspan.operators.segments import attitude_rates, auto_segments, centre_columns, explicit_segments, folded_mean, steady_rows, unwrapped_heading
+from fluxspan.operators.segments import attitude_rates, auto_segments, centre_columns, explicit_segments, folded_mean, rows_in_segments, steady_rows, unwrapped_heading
 from fluxspan.operators.validate import validation_counts
 from fluxspan.schema import COSINES, FLIGHT as KEY, ROW, TERMS
 
@@ -92,16 +92,10 @@ def features_imu(spark, d):
 
 def features_c_in_segments(spark, d):
     df = flight(spark, d)
-    rows = add_features(stacked_rows(df), C, (KEY, "seg_ord"))
+    rows = add_features(rows_in_segments(df, explicit_segments(df, "segment")), C, (KEY, "seg_ord"))
     return _long(rows, TERMS["c"])
 
 
-def stacked_rows(df):
-    from fluxspan.operators.segments import rows_in_segments
-
-    return rows_in_segments(df, explicit_segments(df, "segment"))
-
-
 # -- segmentation ------------------------------------------------------------
 def heading_ref(spark, d):
     ref = folded_mean(flight(spark, d))
@@ -159,8 +153,6 @@ def _gram(spark, d, config, keys):
     k = len(terms) + 1
 
     def gram(key, pdf):
-        import pandas as pd
-
         r = linalg.Part.merged(linalg.read_parts(pdf, k)).r
         g = r.T @ r
         return pd.DataFrame([dict(zip(keys, key)) | {"i": i, "j": j, "value": g[i, j]} for i in range(k) for j in range(i, k)])
@@ -380,5 +372,3 @@ QUERIES = {
         rls_a_lambda1, rls_a_forget, rls_result_a, nn_predict, nn_compensate, pinn_predict,
     )
 }
-
-__all__ = ["CalibrationResult", "FLIGHT", "QUERIES", "flight", "with_keys"]

@@ -59,7 +59,7 @@ def structure(lines: list[bytes], delimiters: np.ndarray):
     first[starts[sizes > 0]] = True
     previous = np.maximum(opening - 1, 0)
     starts_field = first[opening] | cut[previous] | closes[previous]
-    follows = cut_or_quote(cut, quote, closing, ends, record)
+    follows = _closes_field(cut, quote, closing, ends, record)
     faulty = np.zeros(len(lines), bool)
     faulty[record[opening[~starts_field]]] = True
     faulty[record[closing[~follows]]] = True
@@ -70,7 +70,7 @@ def structure(lines: list[bytes], delimiters: np.ndarray):
     return buffer, starts, ends, faulty, cuts, record[cuts]
 
 
-def cut_or_quote(cut, quote, closing, ends, record) -> np.ndarray:
+def _closes_field(cut, quote, closing, ends, record) -> np.ndarray:
     """Whether each closing quote is followed by a delimiter, the record's end
     or another quote.  The byte after it has even parity, so ``cut`` holds."""
     nxt = closing + 1

@@ -356,3 +356,14 @@ def test_whole_pipeline(spark):
     result = calibrate(delta, s, config)
     assert compute_fom_report(delta, s, result).improvement_ratio > 10
     assert compensate(df, result, config).count() == 800
+
+
+def test_public_names(spark):
+    import fluxspan
+
+    for name in dir(fluxspan):
+        assert getattr(fluxspan, name) is not None
+    with pytest.raises(AttributeError):
+        fluxspan.no_such_name
+    listed = fluxspan.segments_frame(spark, [fluxspan.Segment("steady", "N", 0, 5), fluxspan.Segment("yaw", "E", 5, 9)])
+    assert [r.seg_ord for r in listed.orderBy("seg_ord").collect()] == [1, 2]
