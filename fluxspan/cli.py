@@ -45,7 +45,7 @@ def _calibrate(args: argparse.Namespace) -> None:
     try:
         date = dt.date.fromisoformat(args.igrf_date) if args.igrf_date else dt.date.today()
     except ValueError:
-        raise ValueError(f"Invalid --igrf-date {args.igrf_date!r}. Expected YYYY-MM-DD.") from None
+        raise ValueError(f"--igrf-date takes a date like 2024-01-31, not {args.igrf_date!r}") from None
     names = ("model_terms", "earth_field_method", "segment_label_col", "use_ridge", "ridge_alpha", "use_lasso", "lasso_alpha", "use_elastic_net", "elastic_net_alpha", "elastic_net_l1_ratio", "use_cv", "cv_folds", "auto_regularize")
     config = PipelineConfig(igrf_date=date, **{n: getattr(args, n) for n in names})  # before the file is read
     spark = SparkSession.builder.getOrCreate()

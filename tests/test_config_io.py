@@ -36,8 +36,8 @@ DOC = {"model_terms": "a", "coefficients": [1.0, 2.0, 3.0], "n_terms": 3, "condi
 @pytest.mark.parametrize(
     "change, message",
     [
-        ({"model_terms": "z"}, "model_terms"), ({"model_terms": 3}, "model_terms"), ({"coefficients": "x"}, "list"), ({"coefficients": [1.0, "a", 2]}, "numbers"), ({"coefficients": [1.0]}, "entries"), ({"n_terms": True}, "integer"),
-        ({"n_terms": 3.0}, "integer"), ({"n_terms": 4, "coefficients": [1, 2, 3, 4]}, "must be 3"), ({"condition_number": float("inf")}, "finite"), ({"condition_number": True}, "number"), ({"singular_values": [1.0]}, "singular_values"),
+        ({"model_terms": "z"}, "model_terms"), ({"model_terms": 3}, "model_terms"), ({"coefficients": "x"}, "list"), ({"coefficients": [1.0, "a", 2]}, "numbers"), ({"coefficients": [1.0]}, "1 coefficients"), ({"n_terms": True}, "integer"),
+        ({"n_terms": 3.0}, "integer"), ({"n_terms": 4, "coefficients": [1, 2, 3, 4]}, "has 3 terms"), ({"condition_number": float("inf")}, "finite"), ({"condition_number": True}, "number"), ({"singular_values": [1.0]}, "singular_values"),
         ({"singular_values": [1.0, float("nan"), 1.0]}, "finite"), ({"singular_values": [True, 1, 1]}, "finite"),
     ],
 )
