@@ -317,12 +317,12 @@ def pack_documents(documents: DataFrame, plans: DataFrame, tokenizer: str = TOKE
     the document, from 0), first_token, n_tokens.
 
     Defined results: null and empty texts have no tokens and go to some
-    container; rows with null doc_id are left out, rows repeating a doc_id with
-    the same text count once; plans with null or non-positive capacity are left
+    container; rows with null doc_id are left out; rows repeating a doc_id count
+    once, with the smallest of their texts; plans with null or non-positive capacity are left
     out (at most 1000 plans are read); no documents give no rows.
     """
     chosen = [(int(r[0]), int(r[1])) for r in plans.where("plan_id is not null and capacity_tokens > 0").select("plan_id", "capacity_tokens").distinct().orderBy("plan_id", "capacity_tokens").limit(1000).collect()]
-    once = documents.select("doc_id", "text").dropDuplicates(["doc_id"])
+    once = documents.groupBy("doc_id").agg(F.min("text").alias("text"))
     docs = checkpointed(tokenised(once, tokenizer))
     # corpus-wide document frequencies in TERM_BUCKETS buckets: bounded by construction
     df = np.zeros(TERM_BUCKETS)
