@@ -199,8 +199,14 @@ def rows_in_segments(df: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def steady_rows(df: DataFrame, segments: DataFrame) -> DataFrame:
-    """All rows with ``steady``: whether a steady segment covers them."""
-    keyed = with_keys(df)
-    steady = rows_in_segments(keyed.select(FLIGHT, ROW), segments.where("maneuver = 'steady'")).select(FLIGHT, ROW).distinct()
-    return keyed.join(steady.withColumn("_steady", F.lit(True)), [FLIGHT, ROW], "left").withColumn("steady", F.coalesce("_steady", F.lit(False))).drop("_steady")
+    """All rows with ``steady``: whether a steady segment covers them.
 
+    Each block of positions carries the spans of the steady segments that touch
+    it, so the rows take part in one join and are neither repeated nor regrouped.
+    """
+    steady = segments.where("maneuver = 'steady' and end_idx > start_idx")
+    touched = F.explode(F.sequence(F.floor(F.col("start_idx") / BLOCK), F.floor((F.col("end_idx") - 1) / BLOCK)))
+    spans = steady.select(FLIGHT, "start_idx", "end_idx", touched.alias("_block")).groupBy(FLIGHT, "_block").agg(F.collect_set(F.struct("start_idx", "end_idx")).alias("_spans"))
+    rows = with_keys(df).withColumn("_block", F.floor(F.col(ROW) / BLOCK)).join(spans, [FLIGHT, "_block"], "left")
+    covered = F.exists("_spans", lambda s: (F.col(ROW) >= s["start_idx"]) & (F.col(ROW) < s["end_idx"]))
+    return rows.withColumn("steady", F.coalesce(covered, F.lit(False))).drop("_block", "_spans")
