@@ -7,9 +7,13 @@ window greedily while they fit; what room remains goes to the largest unused
 texts that fit exactly or best.  A text is split only if it alone exceeds the
 capacity: into full pieces and one rest, which is packed like a text.
 
-Shards hold at most about ``SHARD`` documents of similar vocabulary, so every
-task's work is bounded; document frequencies are counted over the whole corpus
-in a fixed number of hashed term buckets.
+Up to ``SHARD`` documents are one shard.  Larger corpora are cut into shards of
+at most about that size along a tree of two-means splits of the documents' BM25
+weights, grown from samples until its leaves are small enough, so every task's
+work is bounded and similar texts stay together at any size.  Neighbours in
+other shards are no candidates; only containers of small texts are spread over
+the room that is left in those of other shards.  Document frequencies and the mean length are
+counted over the whole corpus, the former in a fixed number of hashed buckets.
 """
 
 from __future__ import annotations
@@ -32,15 +36,17 @@ TOKENIZER = os.environ.get("FLUXSPAN_TOKENIZER", "/opt/tokenizers/byte_bpe_multi
 # fixed value: the published splitting pattern of the byte-level vocabularies
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TERM_BUCKETS = 1 << 16
-SHARD = 3000
-LOCALITY = 64  # vocabulary classes ahead of the split by size
+SHARD = 20_000
+SAMPLE = 20_000  # documents from which a round of splits is learnt
+DIM = 128  # random projections of a document's term weights
+ROUNDS = 8  # of splits; each makes the leaves up to SAMPLE / 40 times smaller
 K1, B = 1.2, 0.75
 ENCODE_CHARS = 50_000  # longest stretch handed to the tokenizer at once
 
 _ENCODERS: dict[str, object] = {}
 _SPLIT = re.compile(r"\w+")
 
-TOKENISED = "doc_id bigint, n_tokens int, class int, terms array<int>, counts array<int>"
+TOKENISED = "doc_id bigint, n_tokens int, terms array<int>, counts array<int>"
 PLACED = "plan_id bigint, container string, capacity int, doc_id bigint, piece int, first_token int, n_tokens int"
 
 
@@ -80,12 +86,12 @@ def _term(word: str) -> int:
 
 
 def _tokenise(path: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("class", pa.int32()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
-            sizes, classes, terms, counts = [], [], [], []
+            sizes, terms, counts = [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 sizes.append(count_tokens(text, path))
@@ -97,33 +103,141 @@ def _tokenise(path: str):
                         if len(known) < 200_000:
                             known[w] = t
                     bag[t] = bag.get(t, 0) + 1
-                # the smallest hash of the vocabulary: similar texts tend to share it
-                classes.append(min(((t * 40503) & 0xFFFF for t in bag), default=0) % LOCALITY)
                 terms.append(list(bag))
                 counts.append(list(bag.values()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(classes, pa.int32()), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], schema=schema)
 
     return run
 
 
 def tokenised(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, its size in tokens, its vocabulary class and its hashed terms."""
+    """doc_id, its size in tokens and its hashed terms."""
     texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return texts.mapInArrow(_tokenise(tokenizer), TOKENISED)
 
 
+def _idf(df: np.ndarray, n_docs: int) -> np.ndarray:
+    return np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+
+
+def _weights(flat: np.ndarray, tf: np.ndarray, lengths, idf: np.ndarray, mean_length: float) -> np.ndarray:
+    """BM25 weight of each term of each document; ``lengths`` per term."""
+    return idf[flat] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / max(1.0, mean_length)))
+
+
+_SIGNS: dict[int, np.ndarray] = {}
+
+
+def projected(terms: list, counts: list, df: np.ndarray, n_docs: int, mean_length: float) -> np.ndarray:
+    """Unit vectors of DIM random projections of the documents' BM25 weights."""
+    if DIM not in _SIGNS:
+        _SIGNS[DIM] = (np.random.default_rng(0).integers(0, 2, (TERM_BUCKETS, DIM)) * 2 - 1).astype(np.float32)
+    signs, idf = _SIGNS[DIM], _idf(df, n_docs)
+    out = np.zeros((len(terms), DIM), np.float32)
+    for i, (t, c) in enumerate(zip(terms, counts)):
+        if len(t):
+            t, tf = np.sort(np.asarray(t, np.int64)), np.asarray(c, float)[np.argsort(t, kind="stable")]
+            out[i] = _weights(t, tf, tf.sum(), idf, mean_length).astype(np.float32) @ signs[t]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def two_means(x: np.ndarray) -> tuple[np.ndarray, float] | None:
+    """Direction and threshold that part ``x``; None if all rows are alike."""
+    centred = x - x.mean(axis=0)
+    axis = centred[np.argmax((centred * centred).sum(axis=1))].astype(float)
+    if np.linalg.norm(axis) < 1e-4:
+        return None
+    for _ in range(10):
+        axis = centred.T @ (centred @ axis)
+        axis /= max(np.linalg.norm(axis), 1e-30)
+    at = float(np.median(x @ axis))
+    for _ in range(10):
+        right = x @ axis > at
+        if not 0 < right.sum() < len(x):
+            break
+        a, b = x[~right].mean(axis=0), x[right].mean(axis=0)
+        axis, at = b - a, float((b @ b - a @ a) / 2)
+    right = x @ axis > at
+    if min(right.sum(), len(x) - right.sum()) < 0.02 * len(x):  # a few odd ones: halve along the main direction
+        _, _, rows = np.linalg.svd(centred, full_matrices=False)
+        axis = rows[0]
+        order = np.unique(x @ axis)
+        at = float(order[(len(order) - 1) // 2])
+        right = x @ axis > at
+    return (axis, at) if 0 < right.sum() < len(x) else None
+
+
+def split_tree(x: np.ndarray, share: float, shard: int):
+    """Nested (direction, threshold, left, right), None for leaves.  Every row of
+    ``x`` stands for ``share`` documents; leaves stand for at most ``shard`` of
+    them, or for at least 20 rows of ``x``, or can't be parted."""
+    if len(x) * share <= shard or len(x) < 40 or (cut := two_means(x)) is None:
+        return None
+    right = x @ cut[0] > cut[1]
+    return (*cut, split_tree(x[~right], share, shard), split_tree(x[right], share, shard))
+
+
+def leaves(x: np.ndarray, tree, path: str = "") -> np.ndarray:
+    """Path of the leaf each row of ``x`` falls into."""
+    if tree is None:
+        return np.full(len(x), path, object)
+    out, right = np.empty(len(x), object), x @ tree[0] > tree[1]
+    out[~right], out[right] = leaves(x[~right], tree[2], path + "0"), leaves(x[right], tree[3], path + "1")
+    return out
+
+
+def with_class(docs: DataFrame, df: np.ndarray, n_docs: int, mean_length: float, shard: int) -> tuple[DataFrame, dict[str, int]]:
+    """``docs`` with the class each falls into, and the classes' sizes.  Names of
+    similar classes follow each other.  Leaves above ``shard`` documents are split
+    again from a sample of their own, unless their documents are all alike."""
+    out, sizes = docs.withColumn("class", F.lit("")), {"": n_docs}
+    ddl = TOKENISED + ", class string"
+    fixed: set[str] = set()
+    for _ in range(ROUNDS):
+        large = sorted(c for c, n in sizes.items() if n > shard and c not in fixed)
+        if not large:
+            break
+        total = sum(sizes[c] for c in large)
+        # a fixed sample, the same share of each large leaf but enough of every one
+        least = max(40, SAMPLE // len(large) // 4)
+        share = {c: min(1.0, max(SAMPLE / total, least / sizes[c])) for c in large}
+        limit = F.element_at(F.create_map(*[F.lit(x) for c in large for x in (c, share[c])]), F.col("class"))
+        picked = out.where(F.col("class").isin(large)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit * 1_000_000).select("doc_id", "class", "terms", "counts").toPandas().sort_values("doc_id")
+        trees = {}
+        for c, own in picked.groupby("class"):
+            x = projected(own["terms"].tolist(), own["counts"].tolist(), df, n_docs, mean_length)
+            trees[c] = split_tree(x, sizes[c] / len(x), shard)
+        fixed |= {c for c in large if trees.get(c) is None}
+        trees = {c: t for c, t in trees.items() if t is not None}
+        if not trees:
+            break
+
+        def descend(batches: Iterator[pd.DataFrame], trees=trees) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                name = pdf["class"].to_numpy(object).copy()
+                for c, tree in trees.items():
+                    if len(at := np.flatnonzero(name == c)):
+                        x = projected([pdf["terms"].iat[i] for i in at], [pdf["counts"].iat[i] for i in at], df, n_docs, mean_length)
+                        name[at] = leaves(x, tree, c)
+                yield pdf.assign(**{"class": name})
+
+        out = checkpointed(out.mapInPandas(descend, ddl))
+        sizes = {r[0]: r[1] for r in out.groupBy("class").count().collect()}
+    return out, sizes
+
+
 class ShardIndex:
     """Inverted BM25 index over the documents of one shard."""
 
-    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], df: np.ndarray, n_docs: int):
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], df: np.ndarray, n_docs: int, mean_length: float | None = None):
         self.terms = terms
         lengths = np.array([c.sum() for c in counts], float)
         owner = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
         flat = np.concatenate(terms) if len(terms) else np.zeros(0, np.int64)
         tf = np.concatenate(counts).astype(float) if len(terms) else np.zeros(0)
-        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if len(lengths) else 1.0))
-        weight = idf[flat] * tf * (K1 + 1) / (tf + norm[owner])
+        if mean_length is None:
+            mean_length = lengths.mean() if len(lengths) else 1.0
+        weight = _weights(flat, tf, lengths[owner], _idf(df, n_docs), mean_length)
         order = np.argsort(flat, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
         ids, first = np.unique(flat[order], return_index=True)
@@ -256,11 +370,51 @@ def _dissolve(out: np.ndarray, sizes: np.ndarray, free: list[int], capacity: int
     return out
 
 
-def pack_shard(pdf: pd.DataFrame, shard: str, plans: list[tuple[int, int]], df: np.ndarray, n_docs: int) -> pd.DataFrame:
+def spread_small(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Containers of one plan, from several shards: those that hold small texts
+    only are emptied into the room others have left, where all their texts fit.
+    Shards of similar texts have texts of similar length, which fill less well."""
+    pdf = pdf.sort_values(["container", "doc_id", "piece"], kind="stable").reset_index(drop=True)
+    owner, names = pd.factorize(pdf["container"])
+    size, capacity = pdf["n_tokens"].to_numpy(np.int64), int(pdf["capacity"].iat[0])
+    room = capacity - np.bincount(owner, weights=size).astype(np.int64)
+    largest = np.zeros(len(names), np.int64)
+    np.maximum.at(largest, owner, size)
+    starts = np.searchsorted(owner, np.arange(len(names) + 1))
+    home, took = owner.copy(), np.zeros(len(names), bool)
+    for c in np.lexsort((-room, largest)):
+        if took[c]:  # it has become a home of others
+            continue
+        own = np.arange(starts[c], starts[c + 1])
+        if room.sum() - room[c] < capacity - room[c]:
+            continue
+        moves, old = [], int(room[c])
+        room[c] = -1
+        for i in own[np.argsort(-size[own], kind="stable")]:
+            fits = np.flatnonzero(room >= size[i])
+            if not len(fits):
+                break
+            t = int(fits[np.argmin(room[fits])])
+            room[t] -= size[i]
+            moves.append((i, t))
+        if len(moves) < len(own):
+            for i, t in moves:
+                room[t] += size[i]
+            room[c] = old
+            if not moves and largest[c] > room.max():
+                break  # the largest texts of all further containers are no smaller
+            continue
+        room[c] = 0
+        for i, t in moves:
+            home[i], took[t] = t, True
+    return pdf.assign(container=np.asarray(names)[home])
+
+
+def pack_shard(pdf: pd.DataFrame, shard: str, plans: list[tuple[int, int]], df: np.ndarray, n_docs: int, mean_length: float | None = None) -> pd.DataFrame:
     pdf = pdf.sort_values("doc_id", kind="stable").reset_index(drop=True)
     terms = [np.asarray(t, np.int64) if t is not None else np.zeros(0, np.int64) for t in pdf["terms"]]
     counts = [np.asarray(t, np.int64) if t is not None else np.zeros(0, np.int64) for t in pdf["counts"]]
-    index = ShardIndex(terms, counts, df, n_docs)
+    index = ShardIndex(terms, counts, df, n_docs, mean_length)
     size = pdf["n_tokens"].to_numpy(dtype=np.int64)
     doc_id = pdf["doc_id"].to_numpy()
     frames = []
@@ -297,12 +451,12 @@ def pack_shard(pdf: pd.DataFrame, shard: str, plans: list[tuple[int, int]], df:
 
 
 def shard_plan(sizes: dict[int, int], shard: int) -> tuple[dict[int, int], dict[int, int]]:
-    """Shard number of each vocabulary class and the number of parts it is split
-    into: small classes share a shard, large ones are cut by hash."""
+    """Shard number of each class and the number of parts it is split into: small
+    classes share a shard with the next ones, large ones are cut by hash."""
     group, splits, number, load = {}, {}, 0, 0
-    for c in sorted(sizes):
+    for k, c in enumerate(sorted(sizes)):
         if sizes[c] > shard:
-            group[c], splits[c] = 1_000_000 + c, -(-sizes[c] // shard)
+            group[c], splits[c] = 1_000_000 + k, -(-sizes[c] // shard)
             continue
         if load and load + sizes[c] > shard:
             number, load = number + 1, 0
@@ -328,19 +482,26 @@ def pack_documents(documents: DataFrame, plans: DataFrame, tokenizer: str = TOKE
     df = np.zeros(TERM_BUCKETS)
     for bucket, n in docs.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():
         df[bucket] = n
-    # class sizes (LOCALITY rows) tell into how many shards each class is split
-    sizes = {r[0]: r[1] for r in docs.groupBy("class").count().collect()}
-    n_docs = sum(sizes.values())
-    if not sizes or not chosen:
+    n_docs, words = docs.agg(F.count("*"), F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()
+    if not n_docs or not chosen:
         return documents.sparkSession.createDataFrame([], PLACED)
+    mean_length = words / n_docs
+    classed, sizes = with_class(docs, df, n_docs, mean_length, shard)
     group, splits = shard_plan(sizes, shard)
     lookup = lambda d: F.element_at(F.create_map(*[F.lit(x) for c in sorted(d) for x in (c, d[c])]), F.col("class"))
+    # only classes of like documents still have several parts
     split = F.pmod(F.xxhash64("doc_id"), lookup(splits)).cast("string")
-    keyed = docs.withColumn("shard", F.concat_ws("-", lookup(group).cast("string"), split))
+    keyed = classed.withColumn("shard", F.concat_ws("-", lookup(group).cast("string"), split)).drop("class")
+    keyed = keyed.withColumn("plan", F.explode(F.array(*[F.lit(k) for k in range(len(chosen))])))
     # the work lies in the shards, not in their bytes: keep them spread over all cores
-    shards = len({(group[c], s) for c in sizes for s in range(splits[c])})
-    keyed = keyed.repartition(max(1, min(shards, 3 * docs.sparkSession.sparkContext.defaultParallelism), shards // 64), "shard")
-    return keyed.groupBy("shard").applyInPandas(lambda key, pdf: pack_shard(pdf, key[0], chosen, df, n_docs), PLACED)
+    shards = len(chosen) * len({(group[c], s) for c in sizes for s in range(splits[c])})
+    keyed = keyed.repartition(max(1, min(shards, 3 * docs.sparkSession.sparkContext.defaultParallelism), shards // 64), "shard", "plan")
+    placed = keyed.groupBy("shard", "plan").applyInPandas(lambda key, pdf: pack_shard(pdf, key[0], [chosen[key[1]]], df, n_docs, mean_length), PLACED)
+    if len(set(group.values())) == 1:
+        return placed
+    # the containers of all shards, dealt into groups of bounded size
+    part = F.pmod(F.xxhash64("container"), F.lit(-(-n_docs // (2 * shard))))
+    return placed.withColumn("part", part).groupBy("plan_id", "capacity", "part").applyInPandas(lambda pdf: spread_small(pdf.drop(columns="part")), PLACED)
 
 
 def container_fill(placed: DataFrame) -> DataFrame:

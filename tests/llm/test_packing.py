@@ -80,3 +80,21 @@ def test_filling_random_sizes(seed):
 def test_hot_class_is_split():
     group, parts = packing.shard_plan({0: 10, 1: 10_000, 2: 5, 3: 2990}, 3000)
     assert parts[1] == 4 and group[0] == group[2] != group[1] and group[3] != group[0]
+
+
+def test_shards_follow_similarity(spark):
+    rng = np.random.default_rng(2)
+    common = [f"word{i}" for i in range(30)]
+    texts = [" ".join([*rng.permutation(common)[:20], *[f"topic{k}x{j}" for j in rng.permutation(8)[:6]]]) for k in range(40) for _ in range(15)]
+    rows = packing.pack_documents(docs(spark, texts), plans(spark, 512), shard=150).collect()
+    home = {r.doc_id: r.container.rpartition("-")[0] for r in rows}
+    per_shard = np.unique(list(home.values()), return_counts=True)[1]
+    assert len(home) == 600 and len(per_shard) > 3 and per_shard.max() <= 150
+    together = [home[i] == home[j] for i in range(600) for j in range(i // 15 * 15, i) if j >= 0]
+    assert np.mean(together) > 0.9
+
+
+def test_like_documents_are_split_by_id(spark):
+    rows = packing.pack_documents(docs(spark, ["same old text"] * 300), plans(spark, 64), shard=100).collect()
+    per_shard = np.unique([r.container.rpartition("-")[0] for r in rows], return_counts=True)[1]
+    assert per_shard.sum() == 300 and per_shard.max() < 150
