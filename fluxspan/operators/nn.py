@@ -2,13 +2,15 @@
 of the linear model.
 
 Members are trained in parallel, one task each, and applied batch by batch with
-the weights inside the function.  Training needs its rows in one task, so at
-most ``max_training_rows`` rows are used (a fixed hash sample beyond that).
+the weights inside the function.  Every member draws its bootstrap from all rows:
+its task streams them, in order, to a scratch file and reads mini-batches from
+there, so memory holds two row numbers a row (16 bytes) and no features.
 """
 
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,7 +36,6 @@ class NNConfig:
     max_iter: int = 500
     n_estimators: int = 20
     random_state: int = 42
-    max_training_rows: int = 500_000
 
 
 @dataclass(frozen=True)
@@ -95,9 +96,10 @@ def forward(x: np.ndarray, layers, activation: str) -> list[np.ndarray]:
     return out
 
 
-def train_member(x: np.ndarray, y: np.ndarray, config: NNConfig, seed: int, penalty: float = 1e-4):
+def train_member(x: np.ndarray, y: np.ndarray, config: NNConfig, seed: int, penalty: float = 1e-4, pick: np.ndarray | None = None):
     """One perceptron by Adam on squared error, stopping when the loss no longer
-    improves (ten epochs in a row)."""
+    improves (ten epochs in a row).  ``pick``: the rows to train on, all if None."""
+    pick = np.arange(len(x)) if pick is None else pick
     rng = np.random.default_rng(seed)
     sizes = [x.shape[1], *config.hidden_layer_sizes, 1]
     reach = 6.0 if config.activation != "logistic" else 2.0
@@ -108,10 +110,10 @@ def train_member(x: np.ndarray, y: np.ndarray, config: NNConfig, seed: int, pena
     flat = [p for layer in layers for p in layer]
     first, second = [np.zeros_like(p) for p in flat], [np.zeros_like(p) for p in flat]
     slope = _ACTIVATIONS[config.activation][1]
-    batch, step, best, stale = min(200, len(x)), 0, np.inf, 0
+    batch, step, best, stale = min(200, len(pick)), 0, np.inf, 0
     for _ in range(config.max_iter):
-        order, loss = rng.permutation(len(x)), 0.0
-        for at in range(0, len(x), batch):
+        order, loss = rng.permutation(pick), 0.0
+        for at in range(0, len(order), batch):
             rows = order[at : at + batch]
             values = forward(x[rows], layers, config.activation)
             error = values[-1][:, 0] - y[rows]
@@ -129,7 +131,7 @@ def train_member(x: np.ndarray, y: np.ndarray, config: NNConfig, seed: int, pena
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= rate * m / (np.sqrt(v) + 1e-8)
-        loss /= len(x)
+        loss /= len(order)
         stale = stale + 1 if loss > best - 1e-4 else 0
         best = min(best, loss)
         if stale >= 10:
@@ -144,21 +146,34 @@ def _train(rows: DataFrame, features: list[str], target: str, config: NNConfig,
     mean, scale = np.array(stats[:k], float), np.array(stats[k:], float)
     scale[scale == 0] = 1.0
     slim = rows.select(FLIGHT, ROW, *features, target)
-    if n > config.max_training_rows:
-        share = config.max_training_rows / n
-        slim = slim.where(F.pmod(F.xxhash64(FLIGHT, ROW), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     members = slim.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(config.n_estimators - 1))))
     sizes = [k, *config.hidden_layer_sizes, 1]
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([FLIGHT, ROW], kind="stable")
-        x, y = (pdf[features].to_numpy(float) - mean) / scale, pdf[target].to_numpy(float)
-        seed = config.random_state + int(key[0])
-        pick = np.random.default_rng(seed).integers(0, len(x), len(x))
-        layers = train_member(x[pick], y[pick], config, seed, penalty)
-        return pd.DataFrame([{"member": key[0], "weights": np.concatenate([p.ravel() for layer in layers for p in layer]).tolist()}])
+    def fit(member: int, scratch) -> pd.DataFrame:
+        scratch.flush()
+        held = np.memmap(scratch.name, np.float64, "r").reshape(-1, k + 1)
+        seed = config.random_state + member
+        pick = np.random.default_rng(seed).integers(0, len(held), len(held))
+        layers = train_member(held[:, :k], held[:, k], config, seed, penalty, pick)
+        return pd.DataFrame([{"member": member, "weights": np.concatenate([p.ravel() for layer in layers for p in layer]).tolist()}])
 
-    found = members.groupBy("member").applyInPandas(fit, "member int, weights array<double>").orderBy("member").collect()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, scratch = None, None
+        for pdf in batches:
+            for member, own in pdf.groupby("member"):
+                if member != now:
+                    if scratch is not None:
+                        yield fit(now, scratch)
+                        scratch.close()
+                    now, scratch = int(member), tempfile.NamedTemporaryFile(prefix="fluxspan-nn-")
+                x = (own[features].to_numpy(float) - mean) / scale
+                scratch.write(np.c_[x, own[target].to_numpy(float)].tobytes())
+        if scratch is not None:
+            yield fit(now, scratch)
+            scratch.close()
+
+    dealt = members.repartitionById(config.n_estimators, F.col("member")).sortWithinPartitions("member", FLIGHT, ROW, *features, target)
+    found = dealt.mapInPandas(run, "member int, weights array<double>").orderBy("member").collect()
 
     def unpack(flat: list[float]):
         v, layers, at = np.array(flat), [], 0

@@ -342,23 +342,19 @@ def rls_result_a(spark, d):
 
 
 # -- neural --------------------------------------------------------------------
-_SMALL = nn.NNConfig(hidden_layer_sizes=(16,), n_estimators=4, max_iter=20, max_training_rows=20_000)
-
-
 def nn_predict(spark, d):
     df, segments = _delta(spark, d)
-    return nn.predict_nn(df, nn.calibrate_nn(df, segments, _SMALL)).select(KEY, ROW, "nn_mean", "nn_std")
+    return nn.predict_nn(df, nn.calibrate_nn(df, segments)).select(KEY, ROW, "nn_mean", "nn_std")
 
 
 def nn_compensate(spark, d):
     df, segments = _delta(spark, d)
-    return nn.compensate_nn(df, nn.calibrate_nn(df, segments, _SMALL)).select(KEY, ROW, "tmi_compensated")
+    return nn.compensate_nn(df, nn.calibrate_nn(df, segments)).select(KEY, ROW, "tmi_compensated")
 
 
 def pinn_predict(spark, d):
     df, segments = _delta(spark, d)
-    config = nn.PINNConfig(hidden_layer_sizes=(16,), n_estimators=4, max_iter=20, max_training_rows=20_000, tl_pipeline_config=B)
-    return nn.predict_pinn(df, nn.calibrate_pinn(df, segments, config)).select(KEY, ROW, "pinn_mean", "pinn_std")
+    return nn.predict_pinn(df, nn.calibrate_pinn(df, segments, nn.PINNConfig(tl_pipeline_config=B))).select(KEY, ROW, "pinn_mean", "pinn_std")
 
 
 QUERIES = {

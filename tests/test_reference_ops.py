@@ -348,6 +348,30 @@ def test_ensembles(spark):
             nn.calibrate_pinn(df, s, nn.PINNConfig(**bad))
 
 
+def test_members_draw_from_all_rows(spark, monkeypatch):
+    pdf = random_directions(700, seed=5)
+    df, s = spark.createDataFrame(pdf).repartition(5), segments(spark, ("steady", "N", 0, 700))
+    config = nn.NNConfig(hidden_layer_sizes=(4,), n_estimators=3, max_iter=3)
+    x = pdf[["B_x", "B_y", "B_z"]].to_numpy()
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    for i, member in enumerate(nn.calibrate_nn(df, s, config).ensemble.members):
+        pick = np.random.default_rng(42 + i).integers(0, 700, 700)
+        want = nn.train_member(x[pick], pdf.delta_B.to_numpy()[pick], config, 42 + i)
+        assert all(np.allclose(a, b, atol=1e-6) for p, q in zip(member, want) for a, b in zip(p, q))
+    # the registered queries fit as the operator does by default, with no bound on its rows
+    from fluxspan.plans import flight_queries
+
+    seen = []
+    for name in ("calibrate_nn", "calibrate_pinn"):
+        monkeypatch.setattr(nn, name, lambda df, segments, config=nn.NNConfig(): seen.append(config))
+    monkeypatch.setattr(flight_queries, "_delta", lambda spark, d: (None, None))
+    for name in ("nn_predict", "nn_compensate", "pinn_predict"):
+        with pytest.raises(AttributeError):
+            flight_queries.QUERIES[name](None, None)
+    assert [(c.hidden_layer_sizes, c.max_iter, c.n_estimators) for c in seen] == [((64, 64), 500, 20)] * 3
+    assert not any(hasattr(c, "max_training_rows") for c in seen)
+
+
 def test_whole_pipeline(spark):
     df = validate_dataframe(spark.createDataFrame(synthetic_flight()))
     config = PipelineConfig(model_terms="b", earth_field_method="steady_mean", segment_label_col="segment")
