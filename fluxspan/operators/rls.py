@@ -119,3 +119,13 @@ def rls_to_calibration_result(state: RLSState, df: DataFrame, config: PipelineCo
     condition = float(sigma[0] / sigma[-1]) if sigma[-1] > 0 else float("inf")
     return CalibrationResult(state.theta.copy(), residuals, condition, sigma, state.n_terms, None, None, part.n)
 
+
+
+def rls_residuals_by_flight(states: DataFrame, df: DataFrame, config: PipelineConfig) -> DataFrame:
+    """flight_id, row_idx, delta_B and residual of every row under the
+    coefficients of its own flight (``states``: as from update_rls_by_flight)."""
+    if COL_DELTA_B not in df.columns:
+        raise ValueError(f"column {COL_DELTA_B!r} is required")
+    own = states.select(FLIGHT, F.col("theta").alias("_theta"))
+    fitted = sum((F.col("_theta")[i] * F.col(t) for i, t in enumerate(TERMS[config.model_terms])), F.lit(0.0))
+    return add_features(with_keys(df), config).join(own, FLIGHT).select(FLIGHT, ROW, COL_DELTA_B, (fitted - F.col(COL_DELTA_B)).alias("residual"))

@@ -333,11 +333,9 @@ def rls_a_forget(spark, d):
 
 
 def rls_result_a(spark, d):
-    """Residual spread of each flight under recursively updated coefficients."""
+    """Residual spread of each flight under its own recursively updated coefficients."""
     df, _ = _delta(spark, d)
-    first = rls.update_rls_by_flight(df.where(f"{KEY} = 0"), A, np.zeros(3), 1e6 * np.eye(3)).first()
-    state = rls.RLSState(np.array(first["theta"]), np.eye(3), 1.0, first["n_samples"], 3)
-    residuals = rls.rls_to_calibration_result(state, df, A).residuals
+    residuals = rls.rls_residuals_by_flight(rls.update_rls_by_flight(df, A, np.zeros(3), 1e6 * np.eye(3)), df, A)
     return residuals.groupBy(KEY).agg(F.round(F.stddev_pop("residual"), 4).alias("spread"), F.count("*").alias("n"))
 
 

@@ -326,6 +326,16 @@ def test_streams(spark, tmp_path):
         compensate_stream(source(), result, PipelineConfig(model_terms="c"))
 
 
+def test_rls_result_uses_each_flights_own_state(spark, monkeypatch):
+    from fluxspan.plans import flight_queries
+
+    one = random_directions(60, (1.0, -2.0, 0.5), seed=1).assign(flight_id=3)
+    two = random_directions(50, (-4.0, 7.0, 2.0), seed=2).assign(flight_id=8)
+    df = spark.createDataFrame(pd.concat([one, two]))
+    monkeypatch.setattr(flight_queries, "_delta", lambda spark, d: (df, None))
+    assert sorted(tuple(r) for r in flight_queries.rls_result_a(spark, None).collect()) == [(3, 0.0, 60), (8, 0.0, 50)]
+
+
 # -- ensembles --------------------------------------------------------------
 def test_ensembles(spark):
     pdf = random_directions(300, seed=4)
