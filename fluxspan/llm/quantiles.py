@@ -63,7 +63,9 @@ def percentiles(sketches: DataFrame, keys: list[str], percents=PERCENTS, error:
     ranked = sketches.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(total))
     picks = [F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("bucket"))).alias(f"b{p}") for p in percents]
     picked = ranked.groupBy(*keys).agg(F.max("total").cast("bigint").alias("n"), *picks)
-    return picked.select(*keys, "n", *[F.round(value_of(F.col(f"b{p}"), error), 9).alias(f"p{p:02d}") for p in percents])
+    # nine decimals would break the promised error of small values
+    rounded = lambda x: F.when(F.abs(x) >= 1, F.round(x, 9)).otherwise(x)
+    return picked.select(*keys, "n", *[rounded(value_of(F.col(f"b{p}"), error)).alias(f"p{p:02d}") for p in percents])
 
 
 def merged_intervals(segments: DataFrame) -> DataFrame:
@@ -115,7 +117,8 @@ def segment_percentiles(rows: DataFrame, segments: DataFrame, column: str = "del
 
 def daily_sketches(rows: DataFrame, segments: DataFrame, flights: DataFrame, column: str = "delta_b") -> DataFrame:
     """Sketches per flown_on day and (maneuver, heading), added up from those of
-    single flights; they can be stored and merged into any longer period."""
+    single flights; they can be stored and merged into any longer period.  Values
+    of flights without a row in ``flights`` are kept under a null day."""
     per_flight = sketch(labelled_values(rows, segments, column), ["flight_id", "maneuver", "heading"], column)
     days = flights.select("flight_id", "flown_on").where("flight_id is not null").dropDuplicates(["flight_id"])
-    return merge(per_flight.join(days, "flight_id"), ["flown_on", "maneuver", "heading"])
+    return merge(per_flight.join(days, "flight_id", "left"), ["flown_on", "maneuver", "heading"])

@@ -100,3 +100,13 @@ def test_rows_count_once_per_pair(spark):
     out = {(r.maneuver, r.heading): r.n for r in quantiles.segment_percentiles(rows, s).collect()}
     assert out == {("roll", "N"): 600, ("yaw", "E"): 3}
     assert quantiles.segment_percentiles(rows.limit(0), s).count() == 0
+
+
+def test_small_percentiles_and_flights_without_a_day(spark):
+    rows = spark.createDataFrame([(f, i, x) for f, x in ((1, 3e-12), (2, -4e-8)) for i in range(10)], "flight_id bigint, row_idx bigint, delta_b double")
+    segments = spark.createDataFrame([(1, "pitch", "N", 0, 10), (2, "roll", "E", 0, 10)], "flight_id bigint, maneuver string, heading string, start_idx bigint, end_idx bigint")
+    flights = spark.createDataFrame([(1, "2020-01-01")], "flight_id bigint, flown_on string")
+    found = {r.maneuver: r.p50 for r in quantiles.segment_percentiles(rows, segments).collect()}
+    assert abs(found["pitch"] / 3e-12 - 1) < 0.0101 and abs(found["roll"] / -4e-8 - 1) < 0.0101
+    daily = quantiles.daily_sketches(rows, segments, flights).collect()
+    assert sorted((r.flown_on or "", r.maneuver, r.n) for r in daily) == [("", "roll", 10), ("2020-01-01", "pitch", 10)]
