@@ -15,7 +15,8 @@ from fluxspan.operators.fom import compute_fom_report
 from fluxspan.operators.score import compensate
 from fluxspan.operators.segments import segment_fom, steady_rows
 from fluxspan.operators.validate import validate_dataframe
-from fluxspan.sources.recordings import read_coefficients, read_csv, write_coefficients, write_csv
+from fluxspan.schema import COL_TMI_COMPENSATED
+from fluxspan.sources.recordings import csv_columns, read_coefficients, read_csv, write_coefficients, write_csv
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--igrf-coefficients", help="public SHC coefficient file")
     c.add_argument("--segment-label-col")
     for flag in ("use-ridge", "use-lasso", "use-elastic-net", "use-cv", "auto-regularize"):
-        c.add_argument(f"--{flag}", action="store_true")
+        c.add_argument(f"--{flag}", action=argparse.BooleanOptionalAction, default=False)
     for name, default in (("ridge-alpha", 1e-3), ("lasso-alpha", 1e-3), ("elastic-net-alpha", 1e-3), ("elastic-net-l1-ratio", 0.5)):
         c.add_argument(f"--{name}", type=float, default=default)
     c.add_argument("--cv-folds", type=int, default=5)
@@ -62,9 +63,10 @@ def _calibrate(args: argparse.Namespace) -> None:
 
 def _compensate(args: argparse.Namespace) -> None:
     spark = SparkSession.builder.getOrCreate()
+    given = csv_columns(spark, args.input_csv)
     df = validate_dataframe(read_csv(spark, args.input_csv, strict=True))
     result, model = read_coefficients(args.coefficients)
-    write_csv(compensate(df, result, PipelineConfig(model_terms=model)), args.output, single=True)
+    write_csv(compensate(df, result, PipelineConfig(model_terms=model)), args.output, list(dict.fromkeys([*given, COL_TMI_COMPENSATED])), single=True)
 
 
 def main(argv: list[str] | None = None) -> int:

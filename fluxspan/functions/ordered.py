@@ -19,19 +19,43 @@ from fluxspan.schema import FLIGHT, ROW
 CHUNK = 65_536
 
 
+def numbered(df: DataFrame, out: str) -> DataFrame:
+    """Numbers rows from 0 in the order in which they are read.
+
+    Every partition counts its own rows; what the partitions ahead of it hold is
+    added from a table with one row per partition, so no task sees all rows.
+    The input must be read the same way twice, as files are.
+    """
+    placed = df.withColumn("_read", F.monotonically_increasing_id())
+    part, local = F.shiftright("_read", 33), F.col("_read").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    ahead = F.sum("_size").over(W.Window.orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    return placed.withColumn("_part", part).join(offsets, "_part").withColumn(out, (F.col("_ahead") + local).cast("int")).drop("_read", "_part", "_ahead")
+
+
 def with_keys(df: DataFrame) -> DataFrame:
     """Give a single recording its keys.
 
     A missing ``flight_id`` becomes 0.  A missing ``row_idx`` is numbered in the
-    order in which the rows are read; that passes one recording through one
-    task, so large inputs should carry it.
+    order in which the rows are read, within all rows if ``flight_id`` is missing
+    too, else within each flight.
     """
-    if FLIGHT not in df.columns:
+    lone = FLIGHT not in df.columns
+    if lone:
         df = df.withColumn(FLIGHT, F.lit(0))
-    if ROW not in df.columns:
-        placed = df.withColumn("_read", F.monotonically_increasing_id())
-        df = placed.withColumn(ROW, (F.row_number().over(W.Window.partitionBy(FLIGHT).orderBy("_read")) - 1).cast("int")).drop("_read")
-    return df
+    if ROW in df.columns:
+        return df
+    if lone:
+        return numbered(df, ROW)
+    placed = numbered(df, "_at")
+    # rows of one flight that are read together are numbered together
+    chunked = placed.withColumn("_block", F.floor(F.col("_at") / CHUNK))
+    ranked = chunked.withColumn("_rank", F.row_number().over(W.Window.partitionBy(FLIGHT, "_block").orderBy("_at")) - 1)
+    counts = chunked.groupBy(FLIGHT, "_block").agg(F.count("*").alias("_size"))
+    earlier = W.Window.partitionBy(FLIGHT).orderBy("_block").rowsBetween(W.Window.unboundedPreceding, -1)
+    offsets = counts.select(FLIGHT, "_block", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_ahead"))
+    return ranked.join(offsets, [FLIGHT, "_block"]).withColumn(ROW, (F.col("_ahead") + F.col("_rank")).cast("int")).drop("_at", "_block", "_rank", "_size", "_ahead")
 
 
 def chunk_of(position: Column, size: int = CHUNK) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset (tests,
-    local mode) is a folder of our own made."""
+    """Use the folder the session names in ``spark.checkpoint.dir``.  A local
+    session without one gets a temporary folder; a cluster must name a shared one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
-    configured = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="fluxspan-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="fluxspan-checkpoint-")
+    sc.setCheckpointDir(folder)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
