@@ -1,7 +1,8 @@
 import numpy as np
 import pandas as pd
+import pytest
 
-from fluxspan.operators.regrid import fill_cells, regular_grid, ssa_impute
+from fluxspan.operators.regrid import fill_cells, impute_holes, regular_grid, ssa_impute
 
 
 def rows(flight, times, value=None):
@@ -26,12 +27,56 @@ def test_imputation_follows_an_oscillation():
     x = 10 + np.sin(np.arange(200) / 5)
     hole = np.zeros(200, bool)
     hole[np.r_[30:42, 90, 150:156]] = True
-    filled = ssa_impute(np.where(hole, np.nan, x), hole)
+    filled, _ = impute_holes(np.where(hole, np.nan, x), hole, ~hole | hole)
     linear = np.interp(np.arange(200), np.flatnonzero(~hole), x[~hole])
     assert np.abs(filled - x)[hole].max() < 0.4
     assert np.abs(filled - x)[hole].mean() < 0.5 * np.abs(linear - x)[hole].mean()
 
 
+@pytest.mark.parametrize("length", [12, 60, 200, 600, 850])
+@pytest.mark.parametrize("noise", [0.0, 0.2])
+def test_long_holes_beat_a_straight_line(length, noise):
+    t = np.arange(4000)
+    course = 5 * np.sin(t / 12)
+    x = course + noise * np.random.default_rng(4).normal(size=len(t))
+    hole = np.zeros(len(t), bool)
+    hole[2000 : 2000 + length] = True
+    filled, done = impute_holes(np.where(hole, np.nan, x), hole, np.ones(len(t), bool))
+    assert (done == hole).all()
+    error = lambda y: np.sqrt(np.mean((y - course)[hole] ** 2))
+    linear = np.interp(t, t[~hole], x[~hole])
+    assert error(filled) < (0.1 if noise == 0 else 0.6) * error(linear) or error(filled) < 2 * noise
+
+
+def test_unforeseeable_long_hole_stays_near_the_straight_line():
+    walk = np.cumsum(np.random.default_rng(1).normal(size=2000))
+    hole = np.zeros(2000, bool)
+    hole[900:1200] = True
+    filled, _ = impute_holes(np.where(hole, np.nan, walk), hole, np.ones(2000, bool))
+    linear = np.interp(np.arange(2000), np.flatnonzero(~hole), walk[~hole])
+    off = lambda y: np.sqrt(np.mean((y - walk)[hole] ** 2))
+    assert off(filled) < 1.25 * off(linear)
+
+
+def test_faulty_readings_do_not_shape_their_surroundings():
+    x = 10 + np.sin(np.arange(300) / 9)
+    x[146] = 1e6
+    hole = np.zeros(300, bool)
+    hole[150:154] = True
+    filled, _ = impute_holes(np.where(hole, np.nan, x), hole, np.ones(300, bool))
+    assert filled[146] == 1e6 and np.abs(filled - 10 - np.sin(np.arange(300) / 9))[hole].max() < 0.1
+
+
+def test_holes_across_chunks_come_out_once_and_whole(spark):
+    t = np.arange(0, 9000) + 0.5
+    t = t[((t < 3900) | (t > 4700)) & (t.astype(int) % 7 > 0)]
+    df = spark.createDataFrame(rows(1, t))
+    small, large = (regular_grid(df, c).where("channel = 'b_total'").toPandas().sort_values("cell") for c in (2048, 16384))
+    assert small["cell"].tolist() == large["cell"].tolist() == list(range(1, 8999 if t[-1] < 8999 else 9000))
+    wrong = small["value"].to_numpy() - (100 + np.sin((small["cell"].to_numpy() + 0.5) / 7))
+    assert np.abs(wrong).max() < 0.2
+
+
 def test_imputation_edge_cases():
     none = np.array([np.nan, np.nan])
     assert np.isnan(ssa_impute(none, np.array([True, True]))).all()
@@ -56,7 +101,7 @@ def test_operator_equals_brute_force(spark):
     b = rows(2, [10.0, 910.0, 1811.0, 1811.5])
     both = pd.concat([a, b, a.head(50), rows(3, []), rows(4, [5.5], np.array([np.inf]))])
     df = spark.createDataFrame(both.sample(frac=1, random_state=1))
-    for chunk in (1024, 2048):
+    for chunk in (2048, 4096):
         out = regular_grid(df, chunk).toPandas()
         assert not out.duplicated(["flight_id", "cell", "channel"]).any()
         for channel in ("b_total", "b_x"):
