@@ -27,11 +27,13 @@ def brute_spikes(y, sigma):
     return out
 
 
-def test_details_sum_up():
+def test_details_vanish_on_a_smooth_course():
     y = course(300)
     details = wavelet_details(y)
     assert len(details) == 3 and all(len(d) == 300 for d in details)
     assert np.abs(wavelet_details(np.ones(50))[0]).max() < 1e-12
+    cubic = (np.arange(60) / 10.0) ** 3
+    assert max(np.abs(d[12:-12]).max() for d in wavelet_details(cubic)) < 1e-9
 
 
 @pytest.mark.parametrize("width", [1, 2, 3])
@@ -94,6 +96,35 @@ def test_operator_same_for_any_chunking_and_repeats(spark):
     assert all(f == 1 for f, _, _ in found[8192])
 
 
+def test_chunk_borders_amid_nulls(spark):
+    """A stuck run and a spike are whole though nulls part them at chunk borders,
+    over several chunks without any reading."""
+    y = course(4000, 5)
+    y[[*range(1014, 1019), *range(2500, 2505)]] = y[1014]
+    y[1019:2500] = np.nan
+    y[2049] = y[2050] = np.nan
+    z = course(4000, 6)
+    z[3060:3100] = np.nan
+    z[3059] += 40
+    rows = pd.concat([frame(1, y), frame(2, z)]).assign(b_x=1.0, roll_rate=0.5)
+    df = spark.createDataFrame(rows)
+    found = {}
+    for chunk in (256, 512, 8192):
+        out = implausible_readings(df, spark.createDataFrame(FLIGHTS), spark.createDataFrame(AIRCRAFT), chunk).where("channel = 'b_total'").toPandas()
+        found[chunk] = {(r.flight_id, r.row_idx) for r in out.itertuples()}
+    stuck = {(1, i) for i in [*range(1014, 1019), *range(2500, 2505)]}
+    assert stuck | {(2, 3059)} <= found[8192]
+    assert found[256] == found[512] == found[8192]
+
+
+def test_threshold_on_details_decides():
+    y = course(2000)
+    for at in range(100, 1900, 100):
+        y[at] += 5.5
+    few, many = find_spikes(y, 15.0)[0].sum(), find_spikes(y, 6.0)[0].sum()
+    assert few < 4 < 14 < many
+
+
 def test_operator_on_unknown_aircraft_and_empty(spark):
     df = spark.createDataFrame(frame(9, course(100)))
     out = implausible_readings(df, spark.createDataFrame(FLIGHTS), spark.createDataFrame(AIRCRAFT))
