@@ -238,9 +238,10 @@ def far_readings(once: DataFrame, counts: DataFrame, size: int = CHUNK, context:
     near = W.Window.partitionBy("flight_id", "channel", "side").orderBy("mark").rangeBetween(-(context - 1), 0)
     asked = marked.withColumn("sources", F.collect_list(F.when(~F.col("asks"), F.col("chunk"))).over(near)).where("asks")
     links = asked.select("flight_id", "channel", "side", F.col("chunk").alias("asker"), F.explode("sources").alias("chunk")).where("chunk != asker")
-    value = F.coalesce(*[F.when(F.col("channel") == c, F.col(c)) for c in CHANNELS])
-    own = once.where(F.floor(F.col("row_idx") / size) == F.col("chunk"))
-    read = own.join(links, ["flight_id", "chunk"]).select("flight_id", "channel", "side", "asker", "row_idx", value.alias("value")).where("value is not null")
+    # part of the value, not a filter of its own that would sink below the shared exchange
+    own = F.floor(F.col("row_idx") / size) == F.col("chunk")
+    value = F.coalesce(*[F.when(own & (F.col("channel") == c), F.col(c)) for c in CHANNELS])
+    read = once.join(links, ["flight_id", "chunk"]).select("flight_id", "channel", "side", "asker", "row_idx", value.alias("value")).where("value is not null")
     distance = F.when(F.col("side") == "left", -F.col("row_idx")).otherwise(F.col("row_idx"))
     ranked = read.withColumn("rank", F.row_number().over(W.Window.partitionBy("flight_id", "asker", "channel", "side").orderBy(distance))).where(F.col("rank") <= context)
     return ranked.groupBy("flight_id", F.col("asker").alias("chunk")).agg(F.collect_list(F.struct("channel", "row_idx", "value")).alias("far"))
