@@ -87,6 +87,19 @@ def running_sum(df: DataFrame, keys: Sequence[str], value: str, out: str, size:
     return summed.join(offsets, [*keys, "_chunk"]).withColumn(out, F.col("_within") + F.col("_offset")).drop("_chunk", "_within", "_offset")
 
 
+def flight_ends(df: DataFrame) -> DataFrame:
+    """flight_id and ``_last``, the last position of each flight."""
+    return df.groupBy(FLIGHT).agg(F.max(ROW).alias("_last"))
+
+
+def join_flights(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with the columns of a table that has one row per flight and, in
+    ``_last``, the flight's last position.  The table is listed once per chunk of
+    positions, so the rows of a long flight don't meet in one task."""
+    listed = table.withColumn("_chunk", F.explode(F.sequence(F.lit(0), chunk_of(F.col("_last"))))).drop("_last")
+    return rows.withColumn("_chunk", chunk_of(F.col(ROW))).join(listed, [FLIGHT, "_chunk"], how).drop("_chunk")
+
+
 def gradient(value: Column, time: Column, window: W.WindowSpec) -> Column:
     """Second-order derivative on uneven times; one-sided at either end."""
     back, ahead = F.lag(value).over(window), F.lead(value).over(window)

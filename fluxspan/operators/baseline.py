@@ -10,20 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxspan.config import PipelineConfig
-from fluxspan.functions.ordered import with_keys
-from fluxspan.schema import COL_ALT, COL_BTOTAL, COL_DELTA_B, COL_LAT, COL_LON, FLIGHT
+from fluxspan.functions.ordered import join_flights, with_keys
+from fluxspan.schema import COL_ALT, COL_BTOTAL, COL_DELTA_B, COL_LAT, COL_LON, FLIGHT, ROW
 
 EARTH_RADIUS = 6371.2  # km, reference radius of the field model; fixed value
 WGS84 = (6378.137, 6356.752314245)  # semi-axes in km; fixed values
 
 
 def steady_mean(df: DataFrame, mask: str | None = None) -> DataFrame:
-    """Mean total field per flight over the rows marked by column ``mask`` (all
-    rows without one).  A flight without marked rows is an error when computed."""
+    """flight_id, baseline and the flight's last position: the mean total field
+    over the rows marked by column ``mask`` (all rows without one).  A flight
+    without marked rows is an error when computed."""
     value = F.col(COL_BTOTAL) if mask is None else F.when(F.col(mask), F.col(COL_BTOTAL))
-    means = with_keys(df).groupBy(FLIGHT).agg(F.avg(value).alias("_mean"))
+    means = with_keys(df).groupBy(FLIGHT).agg(F.avg(value).alias("_mean"), F.max(ROW).alias("_last"))
     nothing = F.raise_error(F.concat(F.lit("no steady rows in flight "), F.col(FLIGHT).cast("string"))).cast("double")
-    return means.select(FLIGHT, F.coalesce("_mean", nothing).alias("baseline"))
+    return means.select(FLIGHT, "_last", F.coalesce("_mean", nothing).alias("baseline"))
 
 
 def read_shc(path: str) -> tuple[np.ndarray, dict[tuple[int, int], np.ndarray]]:
@@ -105,10 +106,10 @@ def model_baseline(df: DataFrame, when: dt.date, coefficient_file: str | None) -
 
 def compute_interference(df: DataFrame, config: PipelineConfig, steady_mask: str | None = None, coefficient_file: str | None = None) -> DataFrame:
     """``df`` with ``delta_B`` = total field less the baseline of the configured
-    method.  The means of all flights join back by flight; each is one row."""
+    method.  The means of all flights join back by flight and chunk."""
     if config.earth_field_method == "steady_mean":
         keyed = with_keys(df)
-        based = keyed.join(steady_mean(keyed, steady_mask), FLIGHT)
+        based = join_flights(keyed, steady_mean(keyed, steady_mask))
     else:
         based = model_baseline(with_keys(df), config.igrf_date, coefficient_file)
     return based.withColumn(COL_DELTA_B, F.col(COL_BTOTAL) - F.col("baseline")).drop("baseline")

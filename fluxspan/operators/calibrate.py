@@ -61,15 +61,27 @@ def stacked(df: DataFrame, segments: DataFrame, config: PipelineConfig) -> DataF
     return add_features(rows_in_segments(df, segments), config, (FLIGHT, "seg_ord"))
 
 
+SPAN = 4096  # segments whose lengths are added up in one task
+
+
 def stacked_offsets(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Per segment: its offset in the stacked order of its group (flight, then
-    segment order) and the size of the group, from which rows know their block."""
+    segment order) and the size of the group, from which rows know their block.
+
+    Lengths are added up within spans of a flight's segments; over all flights
+    there is one row per span to go through.
+    """
     names = {"heading": "seg_heading", "maneuver": "seg_maneuver"}
-    renamed = segments.select(FLIGHT, "seg_ord", F.col("maneuver").alias("seg_maneuver"), F.col("heading").alias("seg_heading"), (F.col("end_idx") - F.col("start_idx")).alias("_len"))
+    length = F.col("end_idx") - F.col("start_idx")
+    renamed = segments.select(FLIGHT, "seg_ord", F.col("maneuver").alias("seg_maneuver"), F.col("heading").alias("seg_heading"), length.alias("_len"), F.floor(F.col("seg_ord") / SPAN).alias("_span"))
     by = [names.get(c, c) for c in keys]
-    order = W.Window.partitionBy(*by).orderBy(FLIGHT, "seg_ord")
-    ahead = F.coalesce(F.sum("_len").over(order.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
-    return renamed.select(FLIGHT, "seg_ord", ahead.alias("_ahead"), F.sum("_len").over(W.Window.partitionBy(*by)).alias("_total"))
+    place = list(dict.fromkeys([*by, FLIGHT, "_span"]))
+    spans = renamed.groupBy(*place).agg(F.sum("_len").alias("_sum"))
+    order = W.Window.partitionBy(*by).orderBy(FLIGHT, "_span")
+    spans = spans.select(*place, F.coalesce(F.sum("_sum").over(order.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.sum("_sum").over(W.Window.partitionBy(*by)).alias("_total"))
+    inside = W.Window.partitionBy(*place).orderBy("seg_ord").rowsBetween(W.Window.unboundedPreceding, -1)
+    own = renamed.withColumn("_within", F.coalesce(F.sum("_len").over(inside), F.lit(0)))
+    return own.join(spans, place).select(FLIGHT, "seg_ord", (F.col("_start") + F.col("_within")).alias("_ahead"), "_total")
 
 
 def _with_block(rows: DataFrame, segments: DataFrame, keys: list[str], config: PipelineConfig) -> DataFrame:
@@ -167,9 +179,7 @@ def _check(df: DataFrame, segments: DataFrame, config: PipelineConfig) -> DataFr
     if COL_DELTA_B not in df.columns:
         raise ValueError(f"column {COL_DELTA_B!r} is required")
     df = with_keys(df)
-    check_segments(df, segments)
-    if needs_neighbours(config) and not segments.where("end_idx - start_idx < 2").isEmpty():
-        raise ValueError("At least 2 rows are needed per segment for model terms c and d")
+    check_segments(df, segments, 2 if needs_neighbours(config) else 1)
     return df
 
 

@@ -58,17 +58,18 @@ def compute_fom_report(df: DataFrame, segments: DataFrame, result: CalibrationRe
     """The report of one calibration; groups appear in the order of their first segment."""
     if COL_DELTA_B not in df.columns:
         raise ValueError(f"column {COL_DELTA_B!r} is required")
-    listed = segments.orderBy("flight_id", "seg_ord").select("maneuver", "heading", (F.col("end_idx") - F.col("start_idx")).alias("n"))
-    order = listed.groupBy("maneuver", "heading").agg(F.sum("n").alias("n"), F.first("n")).collect()
-    if not order:
+    listed = segments.groupBy("maneuver", "heading").agg(F.sum(F.col("end_idx") - F.col("start_idx")).alias("n"), F.min(F.struct("flight_id", "seg_ord")).alias("at")).collect()
+    if not listed:
         raise ValueError("segments must be non-empty")
     rows = fom_table(result.residuals).collect()
     total = next((r["n_samples"] for r in rows if r["maneuver"] is None and r["heading"] is None), 0)
-    if total != sum(r["n"] for r in order):
-        raise ValueError(f"the result has {total} residuals, the segments have {sum(r['n'] for r in order)} rows")
-    first = {r[0]: i for i, r in enumerate(segments.groupBy("maneuver").agg(F.min(F.struct("flight_id", "seg_ord")).alias("o")).orderBy("o").collect())}
-    first |= {r[0]: i for i, r in enumerate(segments.groupBy("heading").agg(F.min(F.struct("flight_id", "seg_ord")).alias("o")).orderBy("o").collect())}
-    rows.sort(key=lambda r: first.get(r["maneuver"] or r["heading"], -1))
+    if total != (expected := sum(r["n"] for r in listed)):
+        raise ValueError(f"the result has {total} residuals, the segments have {expected} rows")
+    first: dict = {}
+    for r in listed:
+        for group in (r["maneuver"], r["heading"]):
+            first[group] = min(first.get(group, r["at"]), r["at"])
+    rows.sort(key=lambda r: first.get(r["maneuver"] or r["heading"], (-1,)))
     stat = lambda kind, r: kind(r["rms_before"], r["rms_after"], r["n_samples"])
     ratio = next(r["improvement_ratio"] for r in rows if r["maneuver"] is None and r["heading"] is None)
     return FomReport({r["maneuver"]: stat(ManeuverStats, r) for r in rows if r["maneuver"]}, {r["heading"]: stat(HeadingStats, r) for r in rows if r["heading"]}, ratio)

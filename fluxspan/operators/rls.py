@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxspan.config import PipelineConfig
-from fluxspan.functions.ordered import with_keys
+from fluxspan.functions.ordered import flight_ends, join_flights, with_keys
 from fluxspan.operators import linalg
 from fluxspan.operators.calibrate import CalibrationResult, tree_reduced
 from fluxspan.operators.features import add_features, dot
@@ -56,9 +56,9 @@ def _weighted(featured: DataFrame, config: PipelineConfig, lam: float) -> DataFr
     terms = [*TERMS[config.model_terms], COL_DELTA_B]
     if lam == 1:
         return featured.select(FLIGHT, *terms)
-    sizes = featured.groupBy(FLIGHT).agg(F.max(ROW).alias("_last"))
-    root = F.pow(F.lit(lam), (F.col("_last") - F.col(ROW)) / 2)
-    return featured.join(sizes, FLIGHT).select(FLIGHT, *[(F.col(t) * root).alias(t) for t in terms])
+    ends = flight_ends(featured).withColumn("_end", F.col("_last"))
+    root = F.pow(F.lit(lam), (F.col("_end") - F.col(ROW)) / 2)
+    return join_flights(featured, ends).select(FLIGHT, *[(F.col(t) * root).alias(t) for t in terms])
 
 
 def absorb(part: linalg.Part, theta: np.ndarray, covariance: np.ndarray, lam: float) -> tuple[np.ndarray, np.ndarray]:
@@ -120,12 +120,12 @@ def rls_to_calibration_result(state: RLSState, df: DataFrame, config: PipelineCo
     return CalibrationResult(state.theta.copy(), residuals, condition, sigma, state.n_terms, None, None, part.n)
 
 
-
 def rls_residuals_by_flight(states: DataFrame, df: DataFrame, config: PipelineConfig) -> DataFrame:
     """flight_id, row_idx, delta_B and residual of every row under the
     coefficients of its own flight (``states``: as from update_rls_by_flight)."""
     if COL_DELTA_B not in df.columns:
         raise ValueError(f"column {COL_DELTA_B!r} is required")
-    own = states.select(FLIGHT, F.col("theta").alias("_theta"))
+    keyed = with_keys(df)
+    own = flight_ends(keyed).join(states.select(FLIGHT, F.col("theta").alias("_theta")), FLIGHT)
     fitted = sum((F.col("_theta")[i] * F.col(t) for i, t in enumerate(TERMS[config.model_terms])), F.lit(0.0))
-    return add_features(with_keys(df), config).join(own, FLIGHT).select(FLIGHT, ROW, COL_DELTA_B, (fitted - F.col(COL_DELTA_B)).alias("residual"))
+    return join_flights(add_features(keyed, config), own).select(FLIGHT, ROW, COL_DELTA_B, (fitted - F.col(COL_DELTA_B)).alias("residual"))

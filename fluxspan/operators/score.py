@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxspan.config import PipelineConfig
-from fluxspan.functions.ordered import with_keys, with_neighbours
+from fluxspan.functions.ordered import flight_ends, join_flights, with_keys, with_neighbours
 from fluxspan.operators.calibrate import AdaptiveCalibrationResult, CalibrationResult, HeadingCalibrationResult
 from fluxspan.operators.features import add_features, dot, with_cosines
 from fluxspan.operators.segments import assign_heading_bin, bin_centres_from_ref
@@ -90,7 +90,8 @@ def compensate_by_model(df: DataFrame, models: DataFrame, config: PipelineConfig
     flight_id (flights without a model keep null)."""
     terms = TERMS[config.model_terms]
     keyed = with_keys(df)
-    joined = add_features(keyed, config).join(models.select(FLIGHT, "coefficients"), FLIGHT, "left")
+    placed = flight_ends(keyed).join(models.select(FLIGHT, "coefficients"), FLIGHT)
+    joined = join_flights(add_features(keyed, config), placed, "left")
     interference = sum((F.col("coefficients")[i] * F.col(t) for i, t in enumerate(terms)), F.lit(0.0))
     return _finish(joined, interference, _columns(keyed))
 

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from fluxspan.config import PipelineConfig
-from fluxspan.functions.ordered import gradient, running_sum, slopes, with_keys, with_neighbours, wrapped
+from fluxspan.functions.ordered import chunk_of, flight_ends, gradient, join_flights, running_sum, slopes, with_keys, with_neighbours, wrapped
 from fluxspan.schema import COL_HEADING, COL_PITCH, COL_ROLL, COL_TIME, FLIGHT, HEADINGS, MANEUVERS, ROW, SEGMENTS_DDL
 
 STEADY_RATE = 1.0  # deg/s; fixed value
@@ -100,9 +101,11 @@ def unwrapped_heading(df: DataFrame) -> DataFrame:
 
 
 def _with_bins(df: DataFrame, config: PipelineConfig) -> DataFrame:
-    reference = resolve_reference_heading(config, df)
-    centred = df.join(reference, FLIGHT)
-    return centred.withColumn("bin", assign_heading_bin(F.col(COL_HEADING), centre_columns(F.col("reference_deg")), config.heading_tolerance_deg))
+    if config.reference_heading_deg is not None:
+        centred, reference = df, F.lit(float(config.reference_heading_deg))
+    else:
+        centred, reference = join_flights(df, folded_mean(df).join(flight_ends(df), FLIGHT)), F.col("reference_deg")
+    return centred.withColumn("bin", assign_heading_bin(F.col(COL_HEADING), centre_columns(reference), config.heading_tolerance_deg))
 
 
 def attitude_rates(df: DataFrame, config: PipelineConfig) -> DataFrame:
@@ -128,16 +131,34 @@ def attitude_rates(df: DataFrame, config: PipelineConfig) -> DataFrame:
 # -- segments ---------------------------------------------------------------
 def islands(df: DataFrame, label: list[str]) -> DataFrame:
     """Runs of equal labels (null is a value): flight_id, run, the labels,
-    start_idx, end_idx (exclusive)."""
+    start_idx, end_idx (exclusive).
+
+    Only the rows at which a label changes, and the last one of each flight, go
+    on from the first window; a run ends where the next one begins.  Runs of a
+    chunk get their number and their last end from one row per chunk.
+    """
 
     def mark(x, w):
         same = F.lit(True)
         for c in label:
             same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
-        return x.withColumn("_new", F.when(F.lag(ROW).over(w).isNull() | ~same, 1).otherwise(0))
-
-    numbered = running_sum(with_neighbours(df.select(FLIGHT, ROW, *label), [FLIGHT], 1, 0, mark), [FLIGHT], "_new", "run")
-    return numbered.groupBy(FLIGHT, "run", *label).agg(F.min(ROW).cast("int").alias("start_idx"), (F.max(ROW) + 1).cast("int").alias("end_idx"))
+        return x.withColumns({"_new": F.lag(ROW).over(w).isNull() | ~same, "_last": F.lead(ROW).over(w).isNull()})
+
+    marked = with_neighbours(df.select(FLIGHT, ROW, *label), [FLIGHT], 1, 1, mark)
+    edges = marked.where("_new or _last").withColumn("_part", chunk_of(F.col(ROW)))
+    parts = edges.groupBy(FLIGHT, "_part").agg(F.count_if("_new").alias("_n"), F.min(F.when(F.col("_new"), F.col(ROW))).alias("_first"), F.max(F.when(F.col("_last"), F.col(ROW) + 1)).alias("_end"))
+    in_order = W.Window.partitionBy(FLIGHT).orderBy("_part")
+    links = parts.select(
+        FLIGHT,
+        "_part",
+        F.coalesce(F.sum("_n").over(in_order.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"),
+        F.coalesce(F.first("_first", ignorenulls=True).over(in_order.rowsBetween(1, W.Window.unboundedFollowing)), F.max("_end").over(W.Window.partitionBy(FLIGHT))).alias("_beyond"),
+    )
+    within = W.Window.partitionBy(FLIGHT, "_part").orderBy(ROW)
+    starts = edges.where("_new").select(FLIGHT, "_part", ROW, *label, F.row_number().over(within).alias("_rank"), F.lead(ROW).over(within).alias("_next"))
+    return starts.join(links, [FLIGHT, "_part"]).select(
+        FLIGHT, (F.col("_ahead") + F.col("_rank")).alias("run"), *label, F.col(ROW).cast("int").alias("start_idx"), F.coalesce("_next", "_beyond").cast("int").alias("end_idx")
+    )
 
 
 def _ordered(runs: DataFrame) -> DataFrame:
@@ -172,16 +193,27 @@ def segment_fom(df: DataFrame, config: PipelineConfig) -> DataFrame:
     return explicit_segments(df, config.segment_label_col) if config.segment_label_col else auto_segments(df, config)
 
 
-def check_segments(df: DataFrame, segments: DataFrame) -> None:
-    """Segments must exist and lie within their flights."""
-    sizes = with_keys(df).groupBy(FLIGHT).agg(F.count("*").alias("_n"))
-    joined = segments.join(sizes, FLIGHT, "left")
-    wrong = F.col("_n").isNull() | (F.col("start_idx") < 0) | (F.col("end_idx") <= F.col("start_idx")) | (F.col("end_idx") > F.col("_n"))
-    n, bad = joined.agg(F.count("*"), F.count_if(wrong)).first()
+def check_segments(df: DataFrame, segments: DataFrame, least: int = 1) -> None:
+    """Segments must exist, lie within their flights and hold ``least`` rows."""
+    joined = segments.join(flight_ends(with_keys(df)), FLIGHT, "left")
+    wrong = F.col("_last").isNull() | (F.col("start_idx") < 0) | (F.col("end_idx") <= F.col("start_idx")) | (F.col("end_idx") > F.col("_last") + 1)
+    n, bad, short = joined.agg(F.count("*"), F.count_if(wrong), F.count_if(F.col("end_idx") - F.col("start_idx") < least)).first()
     if not n:
         raise ValueError("segments must be non-empty")
     if bad:
         raise ValueError(f"{bad} segments have bounds outside their flight")
+    if short:
+        raise ValueError(f"At least {least} rows are needed per segment for model terms c and d")
+
+
+def touched_blocks(segments: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``segments`` once per block of positions they touch (``_block``).  Bounds
+    are first cut to the rows there are, so an absurd one can't list more blocks
+    than its flight has."""
+    cut = segments.join(flight_ends(rows), FLIGHT)
+    low, high = F.greatest("start_idx", F.lit(0)), F.least(F.col("end_idx"), F.col("_last") + 1)
+    listed = F.explode(F.sequence(F.floor(low / block), F.floor((high - 1) / block)))
+    return cut.where(low < high).withColumn("_block", listed).drop("_last")
 
 
 def rows_in_segments(df: DataFrame, segments: DataFrame) -> DataFrame:
@@ -190,12 +222,10 @@ def rows_in_segments(df: DataFrame, segments: DataFrame) -> DataFrame:
     An equi-join on (flight_id, block of positions): each segment is listed in
     the blocks it touches, so no flight is compared as a whole.
     """
-    blocks = segments.select(
-        FLIGHT, "seg_ord", F.col("maneuver").alias("seg_maneuver"), F.col("heading").alias("seg_heading"), "start_idx", "end_idx",
-        F.explode(F.sequence(F.floor(F.col("start_idx") / BLOCK), F.floor((F.col("end_idx") - 1) / BLOCK))).alias("_block"),
-    )
-    rows = with_keys(df).withColumn("_block", F.floor(F.col(ROW) / BLOCK))
-    return rows.join(blocks, [FLIGHT, "_block"]).where(f"{ROW} >= start_idx and {ROW} < end_idx").drop("_block")
+    keyed = with_keys(df)
+    slim = segments.select(FLIGHT, "seg_ord", F.col("maneuver").alias("seg_maneuver"), F.col("heading").alias("seg_heading"), "start_idx", "end_idx")
+    rows = keyed.withColumn("_block", F.floor(F.col(ROW) / BLOCK))
+    return rows.join(touched_blocks(slim, keyed), [FLIGHT, "_block"]).where(f"{ROW} >= start_idx and {ROW} < end_idx").drop("_block")
 
 
 def steady_rows(df: DataFrame, segments: DataFrame) -> DataFrame:
@@ -204,9 +234,9 @@ def steady_rows(df: DataFrame, segments: DataFrame) -> DataFrame:
     Each block of positions carries the spans of the steady segments that touch
     it, so the rows take part in one join and are neither repeated nor regrouped.
     """
-    steady = segments.where("maneuver = 'steady' and end_idx > start_idx")
-    touched = F.explode(F.sequence(F.floor(F.col("start_idx") / BLOCK), F.floor((F.col("end_idx") - 1) / BLOCK)))
-    spans = steady.select(FLIGHT, "start_idx", "end_idx", touched.alias("_block")).groupBy(FLIGHT, "_block").agg(F.collect_set(F.struct("start_idx", "end_idx")).alias("_spans"))
-    rows = with_keys(df).withColumn("_block", F.floor(F.col(ROW) / BLOCK)).join(spans, [FLIGHT, "_block"], "left")
+    keyed = with_keys(df)
+    steady = segments.where("maneuver = 'steady' and end_idx > start_idx").select(FLIGHT, "start_idx", "end_idx")
+    spans = touched_blocks(steady, keyed).groupBy(FLIGHT, "_block").agg(F.collect_set(F.struct("start_idx", "end_idx")).alias("_spans"))
+    rows = keyed.withColumn("_block", F.floor(F.col(ROW) / BLOCK)).join(spans, [FLIGHT, "_block"], "left")
     covered = F.exists("_spans", lambda s: (F.col(ROW) >= s["start_idx"]) & (F.col(ROW) < s["end_idx"]))
     return rows.withColumn("steady", F.coalesce(covered, F.lit(False))).drop("_block", "_spans")

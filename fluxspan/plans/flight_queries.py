@@ -18,6 +18,7 @@ from fluxspan.operators.score import blend_weights, compensate, compensate_adapt
 from fluxspan.operators.segments import attitude_rates, auto_segments, centre_columns, explicit_segments, folded_mean, rows_in_segments, steady_rows, unwrapped_heading
 from fluxspan.operators.validate import validation_counts
 from fluxspan.schema import COSINES, FLIGHT as KEY, ROW, TERMS
+from fluxspan.shared import checkpointed
 
 FLIGHT = """
 SELECT flight_id, row_idx, time, lat, lon, alt,
@@ -57,7 +58,8 @@ def _rounded(df, *columns, digits=6):
 
 def _delta(spark, d):
     df = flight(spark, d)
-    segments = explicit_segments(df, "segment")
+    # a row per some fifty readings, used several times over: written once
+    segments = checkpointed(explicit_segments(df, "segment"))
     return compute_interference(steady_rows(df, segments), A, "steady"), segments
 
 
