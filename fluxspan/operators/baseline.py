@@ -90,12 +90,9 @@ def field_strength(lon: np.ndarray, lat: np.ndarray, alt_km: np.ndarray, g: dict
     return np.sqrt(up**2 + north**2 + east**2)
 
 
-def model_baseline(df: DataFrame, when: dt.date, coefficient_file: str | None) -> DataFrame:
-    """``df`` with ``baseline`` from a main-field model.  Altitude is in km.  The
-    coefficients (a few hundred numbers) come from a public SHC file."""
-    if not coefficient_file:
-        raise ValueError("the main-field baseline needs a coefficient file (public SHC layout); pass coefficient_file=")
-    g = coefficients_at(*read_shc(coefficient_file), when)
+def model_baseline(df: DataFrame, g: dict[tuple[int, int], float]) -> DataFrame:
+    """``df`` with ``baseline`` from the coefficients of a main-field model (a few
+    hundred numbers).  Altitude is in km."""
 
     @F.pandas_udf("double")
     def strength(lon: pd.Series, lat: pd.Series, alt: pd.Series) -> pd.Series:
@@ -111,5 +108,7 @@ def compute_interference(df: DataFrame, config: PipelineConfig, steady_mask: str
         keyed = with_keys(df)
         based = join_flights(keyed, steady_mean(keyed, steady_mask))
     else:
-        based = model_baseline(with_keys(df), config.igrf_date, coefficient_file)
+        if not coefficient_file:
+            raise ValueError("the main-field baseline needs a coefficient file (public SHC layout); pass coefficient_file=")
+        based = model_baseline(with_keys(df), coefficients_at(*read_shc(coefficient_file), config.igrf_date))
     return based.withColumn(COL_DELTA_B, F.col(COL_BTOTAL) - F.col("baseline")).drop("baseline")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fluxspan.config import PipelineConfig
 from fluxspan.operators import linalg, nn, rls
-from fluxspan.operators.baseline import compute_interference
+from fluxspan.operators.baseline import compute_interference, model_baseline
 from fluxspan.operators.calibrate import calibrate, calibrate_adaptive_maneuvers, calibrate_per_heading, fit_models, stacked, tree_reduced
 from fluxspan.operators.features import add_features, build_feature_matrix, with_cosines
 from fluxspan.operators.fom import fom_table
@@ -144,6 +144,16 @@ def delta_b_all(spark, d):
     return _rounded(compute_interference(flight(spark, d), A).select(KEY, ROW, "delta_B"), "delta_B")
 
 
+# rounded numbers of the size of the Earth's dipole, to compare with its closed form
+DIPOLE = {(1, 0): -29400.0, (1, 1): -1450.0, (1, -1): 4650.0}
+
+
+def model_field(spark, d):
+    """Main-field strength along tracks that cross latitudes and longitudes."""
+    track = flight(spark, d).withColumns({"lat": F.col("lat") - F.col(KEY) % 100 + 0.01 * F.col(ROW), "lon": F.col("lon") + 0.02 * F.col(ROW)})
+    return _rounded(model_baseline(track, DIPOLE).select(KEY, ROW, "baseline"), "baseline", digits=4)
+
+
 # -- calibration -------------------------------------------------------------
 def _gram(spark, d, config, keys):
     df, segments = _delta(spark, d)
@@ -231,6 +241,14 @@ def elastic_net_a(spark, d):
     return _coefficients(_fit(spark, d, A.replace(use_elastic_net=True, elastic_net_alpha=_LASSO, elastic_net_l1_ratio=0.5)), [])
 
 
+def effective_dof_a(spark, d):
+    """Effective degrees of freedom under each penalty."""
+    df, segments = _delta(spark, d)
+    fits = {"ridge": A.replace(use_ridge=True, ridge_alpha=_LASSO), "lasso": A.replace(use_lasso=True, lasso_alpha=_LASSO), "elastic_net": A.replace(use_elastic_net=True, elastic_net_alpha=_LASSO, elastic_net_l1_ratio=0.5)}
+    parts = [fit_models(df, segments, c, []).select(F.lit(m).alias("method"), "selected_alpha", "effective_dof") for m, c in fits.items()]
+    return _rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), "effective_dof")
+
+
 def ridge_cv_a(spark, d):
     model = _fit(spark, d, A.replace(use_ridge=True, use_cv=True))
     return _rounded(model.select("n", F.col("selected_alpha"), F.posexplode("coefficients").alias("i", "value")).withColumn("i", F.col("i").cast("int")), "value", "selected_alpha", digits=5)
@@ -257,8 +275,8 @@ def residuals_a(spark, d):
 
 
 # -- compensation ------------------------------------------------------------
-def _tmi(df):
-    return _rounded(df.select(KEY, ROW, "tmi_compensated"), "tmi_compensated")
+def _tmi(df, digits=6):
+    return _rounded(df.select(KEY, ROW, "tmi_compensated"), "tmi_compensated", digits=digits)
 
 
 def compensate_a(spark, d):
@@ -268,7 +286,7 @@ def compensate_a(spark, d):
 
 def compensate_c(spark, d):
     df, segments = _delta(spark, d)
-    return _tmi(compensate(flight(spark, d), calibrate(df, segments, C), C))
+    return _tmi(compensate(flight(spark, d), calibrate(df, segments, C), C), digits=3)
 
 
 def compensate_by_flight_a(spark, d):
@@ -361,9 +379,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         fom_by_flight, validate_counts, direction_cosines, features_b, features_c_central, features_c_causal, features_d, features_imu, features_c_in_segments,
-        heading_ref, heading_bin, attitude_rate_rows, yaw_unwrap, maneuver_label, segments_explicit, segments_auto, steady_mask, delta_b_steady, delta_b_all,
+        heading_ref, heading_bin, attitude_rate_rows, yaw_unwrap, maneuver_label, segments_explicit, segments_auto, steady_mask, delta_b_steady, delta_b_all, model_field,
         gram_b, gram_c, gram_by_heading, gram_by_maneuver, ols_a, ridge_a, ols_a_by_flight, ols_a_by_heading, ols_a_by_maneuver, vif_a, condition_a,
-        lasso_a, elastic_net_a, ridge_cv_a, lasso_cv_a, elastic_net_cv_a, auto_ridge_c, residuals_a, compensate_a, compensate_c, compensate_by_flight_a,
+        lasso_a, elastic_net_a, effective_dof_a, ridge_cv_a, lasso_cv_a, elastic_net_cv_a, auto_ridge_c, residuals_a, compensate_a, compensate_c, compensate_by_flight_a,
         compensate_heading_a, compensate_adaptive_a, rolling_variances, blending_weights, fom_by_maneuver, fom_by_heading, fom_ratio,
         rls_a_lambda1, rls_a_forget, rls_result_a, nn_predict, nn_compensate, pinn_predict,
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fluxspan.operators.linalg import ALPHAS
-from fluxspan.plans.flight_queries import _LASSO, FLIGHT
+from fluxspan.plans.flight_queries import _LASSO, DIPOLE, FLIGHT
 from fluxspan.schema import COSINES, EDDY, INDUCED, RATES, TERMS
 
 WF = "(PARTITION BY flight_id ORDER BY row_idx)"
@@ -120,11 +120,16 @@ w AS (SELECT n, v0 AS w0, v1 AS w1, v2 AS w2 FROM steps, g WHERE k = 300)
 """ + " UNION ALL ".join(f"SELECT n, {i} AS i, round(w{i}, 6) + 0.0 AS value FROM w" for i in range(3))
 
 
-def _ridge_cv() -> str:
-    blocks = f"""{_DELTA}, pos AS (SELECT *, row_number() OVER (ORDER BY flight_id, seg_ord, row_idx) - 1 AS spot, count(*) OVER () AS total FROM d),
+def _blocks() -> str:
+    """CTEs up to ``train`` and ``test``: sums of each fold's rows."""
+    return f"""{_DELTA}, pos AS (SELECT *, row_number() OVER (ORDER BY flight_id, seg_ord, row_idx) - 1 AS spot, count(*) OVER () AS total FROM d),
 blk AS (SELECT *, CASE WHEN spot < total - 5 * (total // 6) THEN 0 ELSE (spot - (total - 5 * (total // 6))) // (total // 6) + 1 END AS block FROM pos),
 test AS (SELECT block, {_G3} FROM blk GROUP BY block),
-train AS (SELECT t.block, {', '.join(f'sum(u.{x}) AS t{x}' for x in 'abcdefpqr')} FROM test t JOIN test u ON u.block < t.block WHERE t.block > 0 GROUP BY t.block),
+train AS (SELECT t.block, {', '.join(f'sum(u.{x}) AS t{x}' for x in 'nabcdefpqr')} FROM test t JOIN test u ON u.block < t.block WHERE t.block > 0 GROUP BY t.block)"""
+
+
+def _ridge_cv() -> str:
+    blocks = f"""{_blocks()},
 grid AS (SELECT unnest({[float(x) for x in ALPHAS]}) AS alpha),
 fits AS (SELECT block, alpha, {', '.join(f'{x} AS w{i}' for i, x in enumerate(_cramer('alpha', 't')))} FROM train, grid),
 scored AS (SELECT alpha, avg(1 - (yy - 2 * (w0 * p + w1 * q + w2 * r) + w0 * w0 * a + w1 * w1 * d + w2 * w2 * f + 2 * (w0 * w1 * b + w0 * w2 * c + w1 * w2 * e)) / (yy - y1 * y1 / n)) AS r2
@@ -134,6 +139,68 @@ w AS (SELECT n, alpha, {', '.join(f'{x} AS w{i}' for i, x in enumerate(_cramer('
     return f"WITH {blocks} " + " UNION ALL ".join(f"SELECT n, round(alpha, 5) + 0.0 AS selected_alpha, {i} AS i, round(w{i}, 5) + 0.0 AS value FROM w" for i in range(3))
 
 
+def _elastic_cv(ratio: float) -> str:
+    """Coordinate descent for every fold and strength at once, then for all rows
+    with the strength whose folds err least."""
+    soft = lambda rho, l1, diag, l2: f"sign({rho}) * greatest(abs({rho}) - {l1}, 0.0) / ({diag} + {l2})"
+    sweep = lambda t, l1, l2: (soft(f"({t}p - {t}b * v1 - {t}c * v2)", l1, f"{t}a", l2), soft(f"({t}q - {t}b * x0 - {t}e * v2)", l1, f"{t}d", l2), soft(f"({t}r - {t}c * x0 - {t}e * x1)", l1, f"{t}f", l2))
+    a0, a1, a2 = sweep("t", f"(tn * alpha * {ratio})", f"(tn * alpha * {1 - ratio})")
+    b0, b1, b2 = sweep("", f"(n * alpha * {ratio})", f"(n * alpha * {1 - ratio})")
+    return f"""WITH RECURSIVE {_blocks()},
+whole AS MATERIALIZED (SELECT {_G3} FROM d),
+grid AS (SELECT greatest(abs(p), abs(q), abs(r)) / (n * {ratio}) * pow(10.0, -3.0 * k / 99) AS alpha FROM whole, (SELECT unnest(range(100)) AS k)),
+cases AS MATERIALIZED (SELECT * FROM train, grid),
+steps(i, block, alpha, v0, v1, v2) AS (SELECT 0, block, alpha, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM cases UNION ALL
+  SELECT i + 1, block, alpha, x0, x1, {a2} FROM (SELECT *, {a1} AS x1 FROM (SELECT *, {a0} AS x0 FROM steps JOIN cases USING (block, alpha) WHERE i < 200))),
+scored AS (SELECT alpha, avg((yy - 2 * (v0 * p + v1 * q + v2 * r) + v0 * v0 * a + v1 * v1 * d + v2 * v2 * f + 2 * (v0 * v1 * b + v0 * v2 * c + v1 * v2 * e)) / n) AS mse FROM steps JOIN test USING (block) WHERE i = 200 GROUP BY alpha),
+best AS MATERIALIZED (SELECT whole.*, arg_min(alpha, mse) AS alpha FROM scored, whole GROUP BY ALL),
+ends(i, v0, v1, v2) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+  SELECT i + 1, x0, x1, {b2} FROM (SELECT *, {b1} AS x1 FROM (SELECT *, {b0} AS x0 FROM ends, best WHERE i < 300))),
+w AS (SELECT n, v0 AS w0, v1 AS w1, v2 AS w2 FROM ends, best WHERE i = 300)
+""" + " UNION ALL ".join(f"SELECT n, {i} AS i, round(w{i}, 6) + 0.0 AS value FROM w" for i in range(3))
+
+
+def _condition() -> str:
+    """Eigenvalues of the pooled 3 x 3 Gram matrix in closed form."""
+    values = ", ".join(f"sqrt(m + 2 * s * cos(phi + {k} * 2 * pi() / 3)) AS s{i}" for i, k in enumerate((0, 2, 1)))
+    shifted = "((a - m) * ((d - m) * (f - m) - e * e) - b * (b * (f - m) - e * c) + c * (b * e - (d - m) * c))"
+    return f"""WITH {_DELTA}, g AS (SELECT *, (a + d + f) / 3 AS m FROM (SELECT {_G3} FROM d)),
+h AS (SELECT *, sqrt(((a - m) * (a - m) + (d - m) * (d - m) + (f - m) * (f - m) + 2 * (b * b + c * c + e * e)) / 6) AS s FROM g),
+k AS (SELECT *, acos(greatest(-1.0, least(1.0, {shifted} / (2 * s * s * s)))) / 3 AS phi FROM h), v AS (SELECT {values} FROM k)
+""" + " UNION ALL ".join(f"SELECT round(s0 / s2, 5) + 0.0 AS condition_number, {i} AS i, round(s{i}, 5) + 0.0 AS singular_value FROM v" for i in range(3))
+
+
+def _dof() -> str:
+    ridge = f"3 - {_LASSO!r} * ((D * F - e * e) + (A * F - c * c) + (A * D - b * b)) / (A * (D * F - e * e) - b * (b * F - e * c) + c * (b * e - D * c))"
+    shrunk = f"(SELECT a + {_LASSO!r} AS A, b, c, d + {_LASSO!r} AS D, e, f + {_LASSO!r} AS F FROM (SELECT {_G3} FROM d))"
+    count = lambda sql: f"(SELECT CAST(count(*) FILTER (WHERE value <> 0) AS DOUBLE) FROM ({sql}))"
+    return f"""SELECT 'ridge' AS method, {_LASSO!r}::DOUBLE AS selected_alpha, (WITH {_DELTA} SELECT round({ridge}, 6) + 0.0 FROM {shrunk}) AS effective_dof
+UNION ALL SELECT 'lasso', {_LASSO!r}::DOUBLE, {count(_descent(f"{_LASSO / 2!r}", "0.0"))}
+UNION ALL SELECT 'elastic_net', {_LASSO!r}::DOUBLE, {count(_descent(f"{_LASSO / 4!r}", f"{_LASSO / 4!r}"))}"""
+
+
+def _solved(terms) -> str:
+    """CTEs up to ``w``: least squares by elimination on the Gram matrix of ``r``."""
+    k, cols = len(terms), [_product(t) for t in terms] + ["delta_B"]
+    rows = ", ".join("[" + ", ".join(f"sum(({a}) * ({b}))" for b in cols) + "]" for a in cols[:-1])
+    scaled = "list_transform(m[i + 1], lambda x: x / m[i + 1][i + 1])"
+    cleared = f"list_transform(range(1, {k + 2}), lambda j: m[o][j] - m[o][i + 1] * m[i + 1][j] / m[i + 1][i + 1])"
+    return f"""elim(i, m) AS (SELECT 0, [{rows}] FROM r UNION ALL
+  SELECT i + 1, list_transform(range(1, {k + 1}), lambda o: CASE WHEN o = i + 1 THEN {scaled} ELSE {cleared} END) FROM elim WHERE i < {k}),
+w AS (SELECT list_transform(m, lambda x: x[{k + 1}]) AS w FROM elim WHERE i = {k})"""
+
+
+def _dipole(g10: float, g11: float, h11: float) -> str:
+    """Strength of a dipole field at geodetic positions, in closed form."""
+    lean = f"({g11} * cos(radians(lon)) + {h11} * sin(radians(lon)))"
+    parts = (f"2 * ({g10} * ct + {lean} * st)", f"({g10} * st - {lean} * ct)", f"({g11} * sin(radians(lon)) - {h11} * cos(radians(lon)))")
+    return f"""WITH {_BASE}, track AS (SELECT flight_id, row_idx, alt, lat - flight_id % 100 + 0.01 * row_idx AS lat, lon + 0.02 * row_idx AS lon FROM f),
+bent AS (SELECT *, sqrt(pow(6378.137 * cos(radians(lat)), 2) + pow(6356.752314245 * sin(radians(lat)), 2)) AS bend FROM track),
+placed AS (SELECT *, (6378.137 * 6378.137 / bend + alt) * cos(radians(lat)) AS x, (6356.752314245 * 6356.752314245 / bend + alt) * sin(radians(lat)) AS z FROM bent),
+turned AS (SELECT *, sqrt(x * x + z * z) AS rad, z / sqrt(x * x + z * z) AS ct, x / sqrt(x * x + z * z) AS st FROM placed)
+SELECT flight_id, row_idx, round(pow(6371.2 / rad, 3) * sqrt({' + '.join(f'pow({p}, 2)' for p in parts)}), 4) + 0.0 AS baseline FROM turned"""
+
+
 def _vif() -> str:
     """1 / (1 - R^2) per heading: each cosine on the two others, uncentred, against its centred spread."""
     parts = []
@@ -197,6 +264,15 @@ s AS (SELECT *, CAST(sum(fresh) OVER {WF} AS INT) AS seg_ord FROM m) SELECT flig
     "lasso_a": _descent(f"{_LASSO / 2!r}", "0.0"),
     "elastic_net_a": _descent(f"{_LASSO / 4!r}", f"{_LASSO / 4!r}"),
     "ridge_cv_a": _ridge_cv(),
+    "lasso_cv_a": _elastic_cv(1.0),
+    "elastic_net_cv_a": _elastic_cv(0.5),
+    "effective_dof_a": _dof(),
+    "condition_a": _condition(),
+    "auto_ridge_c": f"WITH {_DELTA} SELECT count(*) AS n, 0.001::DOUBLE AS selected_alpha, 18 AS n_terms FROM d",
+    "model_field": _dipole(DIPOLE[1, 0], DIPOLE[1, 1], DIPOLE[1, -1]),
+    "compensate_c": f"""WITH RECURSIVE {_DELTA}, {_rates('central', '(PARTITION BY flight_id, seg_ord ORDER BY row_idx)', 'd')}, {_solved(TERMS['c'])},
+x AS (SELECT flight_id, row_idx, B_total, cos_x, cos_y, cos_z, {', '.join(f'{_central(c, WF)} AS {r}' for c, r in zip(COSINES, RATES))} FROM c)
+SELECT flight_id, row_idx, round(B_total - ({' + '.join(f'w[{i + 1}] * {_product(t)}' for i, t in enumerate(TERMS['c']))}), 3) + 0.0 AS tmi_compensated FROM x, w""",
     "residuals_a": f"WITH {_FOM} SELECT flight_id, seg_ord, row_idx, round(residual, 6) + 0.0 AS residual FROM res",
     "compensate_a": f"WITH {_fit()} SELECT flight_id, row_idx, round(B_total - {_MODEL}, 6) + 0.0 AS tmi_compensated FROM d, w",
     "compensate_by_flight_a": f"WITH {_fit('flight_id')} SELECT flight_id, row_idx, round(B_total - {_MODEL}, 6) + 0.0 AS tmi_compensated FROM d JOIN w USING (flight_id)",
@@ -215,6 +291,7 @@ SELECT flight_id, row_idx, round(any_value(B_total) - sum(part), 6) + 0.0 AS tmi
     "fom_by_heading": f"WITH {_FOM} SELECT seg_heading AS heading, {_RMS} FROM res GROUP BY 1",
     "fom_ratio": f"WITH {_FOM} SELECT count(*) AS n_samples, round(stddev_pop(delta_B) / stddev_pop(residual), 5) + 0.0 AS improvement_ratio FROM res",
     "fom_by_flight": f"WITH {_FOM} SELECT flight_id, coalesce(seg_maneuver, '-') AS maneuver, coalesce(seg_heading, '-') AS heading, {_RMS} FROM res GROUP BY GROUPING SETS ((flight_id, seg_maneuver), (flight_id, seg_heading), (flight_id))",
+    "rls_result_a": f"WITH {_fit('flight_id', '1e-6')} SELECT flight_id, round(stddev_pop({_MODEL} - delta_B), 4) AS spread, count(*) AS n FROM d JOIN (SELECT flight_id, w0, w1, w2 FROM w) USING (flight_id) GROUP BY flight_id",
     "rls_a_lambda1": _rls(1.0),
     "rls_a_forget": _rls(0.98),
 }
