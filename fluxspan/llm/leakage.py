@@ -14,12 +14,16 @@ q-grams with it inside one band:
   q-grams of every kept word survive, so the count is at least the sum over the
   two thirds of the words with the fewest inner q-grams.
 
-Bands that stay below both bounds are dropped without losing a case; the rest
-are verified exactly by aligning words within the band.
+Bands that stay below their bound are dropped without losing a case; the rest
+are verified exactly by aligning words within the band.  Runs are counted in
+narrow bands, as they lie on one diagonal; shares in bands as wide as kept words
+can move, over inner q-grams only.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import html
 import math
 import re
@@ -37,7 +41,9 @@ Q = 6
 RUN_WORDS = 12
 SHARE = (2, 3)
 STRETCH = (3, 2)
-ITEM_BLOCK = 2000  # passages held by a task at a time
+ITEM_BLOCK = 2000  # passages of one index
+BLOCKS = 5  # indexes held by a task at a time
+NARROW = 16  # diagonals of a band in which runs are counted
 SLICE_WORDS = 30_000  # longer documents are searched in overlapping slices
 WORK_BYTES = 200_000  # normalised text searched at a time
 
@@ -46,6 +52,15 @@ _WORD = re.compile(r"[^\W_]+")
 _BREAKING = frozenset({"br", "p", "div", "li", "ul", "ol", "tr", "td", "th", "table", "h1", "h2", "h3", "h4", "h5", "h6", "hr"})
 
 
+@functools.cache
+def _unseen() -> re.Pattern:
+    """Marks and format characters, which don't count."""
+    codes = [c for c in range(0x110000) if unicodedata.category(chr(c)) in ("Mn", "Me", "Cf")]
+    ends = [i for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    spans = zip([0, *(i + 1 for i in ends[:-1])], ends)
+    return re.compile("[" + "".join(f"\\U{codes[a]:08x}-\\U{codes[z]:08x}" for a, z in spans) + "]+")
+
+
 def words_of(text: str | None) -> list[str]:
     """The words of a text, in the form in which they are compared."""
     if not text:
@@ -55,8 +70,7 @@ def words_of(text: str | None) -> list[str]:
     if "&" in text:
         text = html.unescape(text.casefold())  # entities occur in either case
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Me", "Cf"))
+        text = _unseen().sub("", unicodedata.normalize("NFKD", text))
     return _WORD.findall(text.casefold())
 
 
@@ -107,8 +121,13 @@ class PassageIndex:
             if len(w) >= RUN_WORDS:
                 span = np.convolve(length + 1, np.ones(RUN_WORDS, int), "valid") + 1
                 self.bound_run[k] = max(0, span.min() - Q + 1)
-        self.bound = np.minimum(self.bound_run, self.bound_share)
-        self.unbound = np.flatnonzero(self.bound < 1)  # always verified exactly
+        # passages of so short words that no q-gram must survive are found by words:
+        # of as many as may be lost and one more, at least one is kept
+        self.by_word: dict[str, list[int]] = {}
+        for k in np.flatnonzero(self.bound_share < 1).tolist():
+            telling = sorted(self.words[k], key=len, reverse=True)[: int(sizes[k] - self.need[k]) + 1]
+            for w in set(telling):
+                self.by_word.setdefault(w, []).append(k)
         # kept matches move by at most the words lost plus the words put between
         self.band = np.maximum(8, (self.window - self.need) + (sizes - self.need) + 2)
         grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
@@ -133,90 +152,83 @@ class PassageIndex:
             self.masks.append(mask)
 
     # -- filtering ---------------------------------------------------------
-    def candidates(self, pieces: list[list[str]]) -> dict[tuple[int, int], list[tuple[int, int]]]:
-        """{(piece, item): [(first word, last word) of a region, ...]}."""
-        out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    def candidates(self, pieces: list[list[str]]) -> tuple[set, set]:
+        """Regions to verify: {(piece, item, lowest diagonal)} of narrow bands that
+        may hold a run, and the same of wide bands that may hold a share."""
+        runs: set[tuple[int, int, int]] = set()
+        shares: set[tuple[int, int, int]] = set()
         if not len(self.ids):
-            return out
-        for p, w in enumerate(pieces):
-            for k in self.unbound.tolist():
-                out[(p, k)] = [(0, len(w))]
+            return runs, shares
+        if self.by_word:
+            for p, w in enumerate(pieces):
+                for k in {k for x in set(w) & self.by_word.keys() for k in self.by_word[x]}:
+                    shares |= {(p, k, d) for d in range(-int(self.sizes[k]), len(w), int(self.band[k]))}
         sizes = np.array([len(w) for w in pieces], np.int64)
-        text = "\n".join(" " + " ".join(w) + " " if w else "" for w in pieces).encode()
-        data = np.frombuffer(text, np.uint8)
+        data = np.frombuffer("\n".join(" " + " ".join(w) + " " if w else "" for w in pieces).encode(), np.uint8)
         g = _grams(data)
         if not len(g):
-            return out
+            return runs, shares
         hit = np.flatnonzero(self.filter[_slot(g, self.bits)])
         at = np.minimum(np.searchsorted(self.gram, g[hit]), len(self.gram) - 1)
         true = self.gram[at] == g[hit]
         hit, at = hit[true], at[true]
         if not len(hit):
-            return out
-        # word number of every byte, with room between pieces so that no band
-        # reaches from one piece into another
-        room = int(self.band.max() * 3 + self.sizes.max() + 2)
+            return runs, shares
         piece = np.cumsum(data == 10)[hit]
         starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        blanks = np.cumsum(data == 32)[hit]
         extra = np.cumsum(sizes > 0)[piece] - 1  # every piece has one blank more than words
-        local = blanks - 1 - extra - starts[piece]
-        base = starts + np.arange(len(pieces)) * room + room
-        position = base[piece] + local
+        local = np.cumsum(data == 32)[hit] - 1 - extra - starts[piece]
         times = self.count[at]
         post = np.repeat(self.first[at] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(int(times.sum()))
+        piece, diagonal = np.repeat(piece, times), np.repeat(local, times) - self.word[post]
+        found, member = self._bands(sizes, piece, diagonal, post, np.full(len(self.ids), NARROW), self.bound_run)
+        if found:
+            # most q-grams on one diagonal of the band
+            lowest = np.array([d for _, _, d in found])
+            line, on_line = np.unique(member[0] * 2 * NARROW + diagonal[member[1]] - lowest[member[0]], return_counts=True)
+            most = np.zeros(len(found), np.int64)
+            np.maximum.at(most, line // (2 * NARROW), on_line)
+            runs |= {f for f, m in zip(found, most) if m >= self.bound_run[f[1]]}
+        inner = self.inner[post]
+        found, member = self._bands(sizes, piece[inner], diagonal[inner], post[inner], self.band, np.maximum(1, self.bound_share))
+        if found:
+            # passage words all of whose inner q-grams occur in the band
+            band, place = member[0], post[inner][member[1]]
+            seen = np.unique(band * len(self.item) + place)
+            band, place = seen // len(self.item), seen % len(self.item)
+            total = int(self.word_base[-1])
+            word, got = np.unique(band * total + self.word_base[self.item[place]] + self.word[place], return_counts=True)
+            full = got == self.inner_per_word[word % total]
+            covered = np.bincount(word[full] // total, minlength=len(found))
+            shares |= {f for f, c in zip(found, covered) if c >= max(1, self.need_covered[f[1]])}
+        return runs, shares
+
+    def _bands(self, sizes, piece, diagonal, post, width, bound):
+        """Bands of two neighbouring cells of ``width`` diagonals with at least
+        ``bound`` hits, as (piece, item, lowest diagonal), and the hits in them as
+        (number of the band, number of the hit)."""
         item = self.item[post]
-        diagonal = np.repeat(position, times) - self.word[post]
-        cells_of = (base[-1] + int(sizes[-1]) + room) // self.band + 3
+        room = int(self.sizes.max()) + 3 * int(width.max()) + 2  # so that no band reaches into another piece
+        base = np.cumsum(sizes + room) - sizes
+        cells_of = (int(base[-1] + sizes[-1]) + room) // width + 3
         offset = np.r_[0, np.cumsum(cells_of)]
-        cell = offset[item] + diagonal // self.band[item]
+        cell = offset[item] + (base[piece] + diagonal) // width[item]
         counts = np.bincount(cell, minlength=int(offset[-1]) + 1)
-        pair = counts[:-1] + counts[1:]  # overlapping bands: two neighbouring cells
-        limit = np.repeat(self.bound, cells_of)
-        kept = pair[: offset[-1]] >= limit
+        kept = counts[:-1] + counts[1:] >= np.repeat(bound, cells_of)
         kept[offset[1:] - 1] = False
-        if not kept.any():
-            return out
-        # exact counts within the kept bands
-        live = kept.copy()
-        live[1:] |= kept[:-1]
-        take = np.flatnonzero(live[cell])
-        cell, post, diagonal, item = cell[take], post[take], diagonal[take], item[take]
-        both_cell, both_post, both_diag = [], [], []
+        names = np.flatnonzero(kept)
+        if not len(names):
+            return [], None
+        k = np.searchsorted(offset, names, side="right") - 1
+        lowest = (names - offset[k]) * width[k]
+        p = np.clip(np.searchsorted(base - room // 2, lowest + width[k], side="right") - 1, 0, len(sizes) - 1)
+        bands = list(zip(p.tolist(), k.tolist(), (lowest - base[p]).tolist()))
+        number = np.cumsum(kept) - 1
+        members = []
         for shift in (0, 1):
-            ok = (cell - shift >= 0) & kept[np.maximum(cell - shift, 0)]
-            both_cell.append(cell[ok] - shift)
-            both_post.append(post[ok])
-            both_diag.append(diagonal[ok])
-        band, post, diagonal = np.concatenate(both_cell), np.concatenate(both_post), np.concatenate(both_diag)
-        names, band = np.unique(band, return_inverse=True)
-        band_item = np.searchsorted(offset, names, side="right") - 1
-        # run bound: most q-grams on one diagonal
-        low = int(diagonal.min())
-        wide = int(diagonal.max()) - low + 1
-        lines, on_line = np.unique(band * wide + (diagonal - low), return_counts=True)
-        most = np.zeros(len(names), np.int64)
-        np.maximum.at(most, lines // wide, on_line)
-        # share bound: passage words all of whose inner q-grams occur
-        inner = self.inner[post]
-        seen = np.unique(band[inner] * len(self.item) + post[inner])
-        owner, place = seen // len(self.item), seen % len(self.item)
-        total_words = int(self.word_base[-1])
-        word_key, got = np.unique(owner * total_words + self.word_base[self.item[place]] + self.word[place], return_counts=True)
-        full = got == self.inner_per_word[word_key % total_words]
-        covered = np.bincount(word_key[full] // total_words, minlength=len(names))
-        good = (most >= self.bound_run[band_item]) | (covered >= np.maximum(1, self.need_covered[band_item]))
-        for b in np.flatnonzero(good):
-            k = int(band_item[b])
-            first = int(names[b] - offset[k]) * int(self.band[k])
-            last = first + 2 * int(self.band[k]) + int(self.sizes[k])
-            p = int(np.searchsorted(base, max(first + room // 2, base[0]), side="right")) - 1
-            for q in (p, p + 1):
-                if 0 <= q < len(pieces):
-                    a, z = max(0, first - int(base[q])), min(int(sizes[q]), last - int(base[q]))
-                    if a < z:
-                        out.setdefault((q, k), []).append((a, z))
-        return out
+            inside = np.flatnonzero((cell >= shift) & kept[np.maximum(cell - shift, 0)])
+            members.append((number[cell[inside] - shift], inside))
+        return bands, (np.concatenate([m[0] for m in members]), np.concatenate([m[1] for m in members]))
 
     # -- verification ------------------------------------------------------
     def _has_run(self, words: list[str], k: int) -> bool:
@@ -238,38 +250,35 @@ class PassageIndex:
             run = new
         return False
 
-    def _aligned(self, words: list[str], k: int) -> int:
-        """Most passage words found in their order (bit-parallel alignment)."""
+    def _aligned(self, words: list[str], at: list[int], k: int, lowest: int) -> int:
+        """Most passage words found in their order on diagonals from ``lowest``
+        over two widths of the band: bit-parallel, banded alignment.  ``at`` holds
+        the positions of the words."""
         masks, size = self.masks[k], int(self.sizes[k])
-        ones = (1 << size) - 1
+        ones, stripe = (1 << size) - 1, (1 << 2 * int(self.band[k])) - 1
         v = ones
-        for w in words:
-            mask = masks.get(w)
-            if mask:
-                u = v & mask
+        for w, i in zip(words, at):
+            shift = i - lowest - 2 * int(self.band[k]) + 1  # lowest passage word of the band at this position
+            u = v & masks[w] & (stripe << shift if shift >= 0 else stripe >> -shift)
+            if u:
                 v = ((v + u) | (v - u)) & ones
         return size - v.bit_count()
 
-    def _has_share(self, words: list[str], k: int) -> bool:
+    def has_share(self, words: list[str], k: int, lowest: int) -> bool:
         need, window, masks = int(self.need[k]), int(self.window[k]), self.masks[k]
-        known = [i for i, w in enumerate(words) if w in masks]
-        if len(known) < need or self._aligned(words, k) < need:
+        a, z = max(0, lowest), lowest + 2 * int(self.band[k]) + int(self.sizes[k])
+        at = [i for i in range(a, min(z, len(words))) if words[i] in masks]
+        known = [words[i] for i in at]
+        if len(known) < need or self._aligned(known, at, k, lowest) < need:
             return False
-        for s, i in enumerate(known):
-            end = i + window
-            if len(known) - s < need:
-                return False
-            inside = [words[x] for x in known[s:] if x < end]
-            if len(inside) >= need and self._aligned(inside, k) >= need:
+        for s in range(len(known) - need + 1):
+            e = bisect.bisect_left(at, at[s] + window)
+            if e - s >= need and self._aligned(known[s:e], at[s:e], k, lowest) >= need:
                 return True
         return False
 
-    def verified(self, words: list[str], k: int, regions: list[tuple[int, int]]) -> bool:
-        for a, z in regions:
-            part = words[a:z]
-            if self._has_run(part, k) or self._has_share(part, k):
-                return True
-        return False
+    def has_run(self, words: list[str], k: int, lowest: int) -> bool:
+        return self._has_run(words[max(0, lowest) : max(0, lowest + 2 * NARROW + int(self.sizes[k]))], k)
 
     def search(self, texts: list[list[str]]) -> list[list[int]]:
         """Ids of the passages each text carries, ascending."""
@@ -281,9 +290,10 @@ class PassageIndex:
 
         def flush():
             nonlocal size
-            for (p, k), regions in self.candidates(pieces).items():
-                if k not in found[owner[p]] and self.verified(pieces[p], k, regions):
-                    found[owner[p]].add(k)
+            for regions, holds in zip(self.candidates(pieces), (self.has_run, self.has_share)):
+                for p, k, lowest in regions:
+                    if k not in found[owner[p]] and holds(pieces[p], k, lowest):
+                        found[owner[p]].add(k)
             pieces.clear()
             owner.clear()
             size = 0
@@ -303,16 +313,17 @@ class PassageIndex:
         return [sorted(self.ids[k] for k in f) for f in found]
 
 
-def _searcher(index: PassageIndex):
+def _searcher(indexes: list[PassageIndex]):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), [words_of(t) for t in batch.column(1).to_pylist()]
             docs, items = [], []
-            for i, hits in zip(ids, index.search([words_of(t) for t in texts])):
-                docs += [i] * len(hits)
-                items += [int(h) for h in hits]
+            for index in indexes:
+                for i, hits in zip(ids, index.search(texts)):
+                    docs += [i] * len(hits)
+                    items += [int(h) for h in hits]
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], schema=schema)
 
     return run
@@ -321,21 +332,22 @@ def _searcher(index: PassageIndex):
 def leaked_passages(documents: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, item_id) for every document that carries a passage.
 
-    The passages reach the tasks in blocks of ``ITEM_BLOCK``, so what a task
-    holds is bounded whatever their number; documents are read once per block
-    and never shuffled for the search.  Defined results: null or empty texts and
-    passages carry nothing; a passage of fewer than 12 words can only be found
-    by its share; rows with null ids are left out; repeated rows count once.
+    The passages reach the tasks in indexes of ``ITEM_BLOCK``, ``BLOCKS`` of them
+    at a time, so what a task holds is bounded whatever their number; documents
+    are read and normalised once per ``ITEM_BLOCK * BLOCKS`` passages and never
+    shuffled for the search.  Defined results: null or empty texts and passages
+    carry nothing; a passage of fewer than 12 words can only be found by its
+    share; rows with null ids are left out; repeated rows count once.
     """
     docs = documents.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     docs = spread(docs, "doc_id")
     passages = items.where("item_id is not null and passage is not null").select(F.col("item_id").cast("bigint"), "passage").dropDuplicates(["item_id", "passage"])
-    n = passages.count()
+    parts = max(1, math.ceil(passages.count() / (ITEM_BLOCK * BLOCKS)))
     found = None
-    for block in range(max(1, math.ceil(n / ITEM_BLOCK))):
-        # bounded by ITEM_BLOCK rows, spread evenly by hash
-        part = passages.where(F.pmod(F.xxhash64("item_id"), F.lit(max(1, math.ceil(n / ITEM_BLOCK)))) == block) if n > ITEM_BLOCK else passages
-        index = PassageIndex(sorted((r[0], r[1]) for r in part.collect()))
-        hits = docs.mapInArrow(_searcher(index), "doc_id bigint, item_id bigint")
+    for part in range(parts):
+        # about ITEM_BLOCK * BLOCKS rows, dealt evenly by hash
+        own = sorted((r[0], r[1]) for r in passages.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(parts)) == part).collect())
+        indexes = [PassageIndex(own[a : a + ITEM_BLOCK]) for a in range(0, max(1, len(own)), ITEM_BLOCK)]
+        hits = docs.mapInArrow(_searcher(indexes), "doc_id bigint, item_id bigint")
         found = hits if found is None else found.unionByName(hits)
     return found.distinct()

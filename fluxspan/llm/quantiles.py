@@ -63,25 +63,25 @@ def percentiles(sketches: DataFrame, keys: list[str], percents=PERCENTS, error:
     ranked = sketches.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(total))
     picks = [F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("bucket"))).alias(f"b{p}") for p in percents]
     picked = ranked.groupBy(*keys).agg(F.max("total").cast("bigint").alias("n"), *picks)
-    # nine decimals would break the promised error of small values
-    rounded = lambda x: F.when(F.abs(x) >= 1, F.round(x, 9)).otherwise(x)
-    return picked.select(*keys, "n", *[rounded(value_of(F.col(f"b{p}"), error)).alias(f"p{p:02d}") for p in percents])
+    return picked.select(*keys, "n", *[value_of(F.col(f"b{p}"), error).alias(f"p{p:02d}") for p in percents])
 
 
-def merged_intervals(segments: DataFrame) -> DataFrame:
+def merged_intervals(segments: DataFrame, rows: DataFrame) -> DataFrame:
     """Disjoint row intervals per (flight, maneuver, heading), cut into blocks:
     flight_id, block, maneuver, heading, lo, hi.
 
-    Each record is first cut at block borders and then overlaps are merged
-    within a block, so no task has to hold a flight's records.
+    Each record is first cut to the rows its flight has, then at block borders;
+    overlaps are merged within a block, so no task has to hold a flight's records.
     """
-    start, end = F.col("start_idx"), F.col("end_idx")
     known = (
         segments.where("flight_id is not null and start_idx is not null and end_idx is not null and end_idx > start_idx")
         .select("flight_id", "start_idx", "end_idx", maneuver_name(F.col("maneuver")).alias("maneuver"), heading_name(F.col("heading")).alias("heading"))
         .where("maneuver is not null and heading is not null")
     )
-    pieces = known.withColumn("block", F.explode(F.sequence(F.floor(start / BLOCK), F.floor((end - 1) / BLOCK)))).select(
+    span = rows.where("flight_id is not null and row_idx is not null").groupBy("flight_id").agg(F.min("row_idx").alias("_first"), F.max("row_idx").alias("_last"))
+    cut = known.join(span, "flight_id").select("flight_id", "maneuver", "heading", F.greatest("start_idx", "_first").alias("start_idx"), F.least("end_idx", F.col("_last") + 1).alias("end_idx")).where("end_idx > start_idx")
+    start, end = F.col("start_idx"), F.col("end_idx")
+    pieces = cut.withColumn("block", F.explode(F.sequence(F.floor(start / BLOCK), F.floor((end - 1) / BLOCK)))).select(
         "flight_id", "block", "maneuver", "heading", F.greatest(start, F.col("block") * BLOCK).alias("lo"), F.least(end, (F.col("block") + 1) * BLOCK).alias("hi")
     )
     group = ["flight_id", "block", "maneuver", "heading"]
@@ -101,7 +101,7 @@ def labelled_values(rows: DataFrame, segments: DataFrame, column: str = "delta_b
         .repartition("flight_id", "block")
         .dropDuplicates(["flight_id", "block", "row_idx"])
     )
-    return once.join(merged_intervals(segments), ["flight_id", "block"]).where("row_idx >= lo and row_idx < hi").select("flight_id", "row_idx", "maneuver", "heading", column)
+    return once.join(merged_intervals(segments, rows), ["flight_id", "block"]).where("row_idx >= lo and row_idx < hi").select("flight_id", "row_idx", "maneuver", "heading", column)
 
 
 def segment_percentiles(rows: DataFrame, segments: DataFrame, column: str = "delta_b") -> DataFrame:

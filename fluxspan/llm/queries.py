@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -18,14 +19,19 @@ def p1_runs(spark, d):
     return runs.run_durations(runs.collapse_runs(table(spark, d, "segments")), table(spark, d, "flight_rows"))
 
 
+def _rounded(df):
+    """Percentiles to nine decimals, to compare with SQL; the operators don't round."""
+    return df.withColumns({c: F.round(c, 9) for c in df.columns if re.fullmatch(r"p\d\d", c)})
+
+
 def p3_percentiles(spark, d):
-    return quantiles.segment_percentiles(table(spark, d, "flight_rows"), table(spark, d, "segments"))
+    return _rounded(quantiles.segment_percentiles(table(spark, d, "flight_rows"), table(spark, d, "segments")))
 
 
 def p3_daily_percentiles(spark, d):
     daily = quantiles.daily_sketches(table(spark, d, "flight_rows"), table(spark, d, "segments"), table(spark, d, "flights"))
     named = daily.withColumn("flown_on", F.col("flown_on").cast("string"))
-    return quantiles.percentiles(named, ["flown_on", "maneuver", "heading"], (5, 50, 95))
+    return _rounded(quantiles.percentiles(named, ["flown_on", "maneuver", "heading"], (5, 50, 95)))
 
 
 def p6_containers(spark, d):
@@ -117,5 +123,5 @@ SQL = {
 FROM runs r LEFT JOIN (SELECT flight_id, row_idx, time_s FROM flight_rows WHERE time_s IS NOT NULL AND NOT isnan(time_s)) f ON f.flight_id = r.flight_id AND f.row_idx >= r.start_idx AND f.row_idx < r.end_idx
 GROUP BY ALL""",
     "p3_percentiles": _percentile_sql("maneuver, heading", quantiles.PERCENTS, "covered"),
-    "p3_daily_percentiles": _percentile_sql("flown_on, maneuver, heading", (5, 50, 95), "(SELECT c.*, CAST(f.flown_on AS VARCHAR) AS flown_on FROM covered c JOIN (SELECT DISTINCT flight_id, flown_on FROM flights) f ON c.flight_id = f.flight_id)"),
+    "p3_daily_percentiles": _percentile_sql("flown_on, maneuver, heading", (5, 50, 95), "(SELECT c.*, CAST(f.flown_on AS VARCHAR) AS flown_on FROM covered c LEFT JOIN (SELECT DISTINCT flight_id, flown_on FROM flights) f ON c.flight_id = f.flight_id)"),
 }

@@ -195,11 +195,14 @@ def run_durations(runs: DataFrame, rows: DataFrame) -> DataFrame:
     listed in every block it touches: no range comparison across a whole flight.
     """
     keyed = runs.withColumn("run", F.struct("start_idx", "end_idx", "maneuver", "heading"))
-    blocks = keyed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start_idx") / BLOCK), F.floor((F.col("end_idx") - 1) / BLOCK))))
     timed = (
         rows.where("flight_id is not null and row_idx is not null and time_s is not null and not isnan(time_s)")
         .select("flight_id", "row_idx", "time_s", F.floor(F.col("row_idx") / BLOCK).alias("block"))
     )
+    # bounds cut to the rows there are: an absurd one lists no more blocks than its flight has
+    span = timed.groupBy("flight_id").agg(F.min("row_idx").alias("_first"), F.max("row_idx").alias("_last"))
+    cut = keyed.join(span, "flight_id").withColumn("low", F.greatest("start_idx", "_first")).withColumn("high", F.least("end_idx", F.col("_last") + 1)).where("low < high")
+    blocks = cut.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / BLOCK), F.floor((F.col("high") - 1) / BLOCK))))
     covered = timed.join(blocks.select("flight_id", "block", "run"), ["flight_id", "block"]).where("row_idx >= run.start_idx and row_idx < run.end_idx")
     spans = covered.groupBy("flight_id", "run").agg((F.max("time_s") - F.min("time_s")).alias("seconds"))
     return keyed.join(spans, ["flight_id", "run"], "left").select(

@@ -55,6 +55,16 @@ def test_search_equals_definition(seed):
     assert index.search(docs) == [[100 + i for i, item in enumerate(items) if carries(d, item)] for d in docs]
 
 
+def test_passages_of_short_words():
+    """No q-gram need survive here; words find what carries them."""
+    rng = random.Random(3)
+    tiny = ["a", "to", "it", "is", "so", "we", "he", "up", "on", "at", "by", "go"]
+    items = [[rng.choice(tiny) for _ in range(n)] for n in (5, 8, 20, 30)]
+    docs = [[rng.choice(tiny + ["long", "words"]) for _ in range(60)] + damaged(rng, rng.choice(items), 0.2, 0.1) for _ in range(40)]
+    index = PassageIndex([(i, " ".join(w)) for i, w in enumerate(items)])
+    assert index.search(docs) == [[i for i, item in enumerate(items) if carries(d, item)] for d in docs]
+
+
 def test_words():
     assert words_of("Café<br/>WA­TER <b>a</b>b &amp; x​y_z STRASSE straße") == ["cafe", "water", "ab", "xy", "z", "strasse", "strasse"]
     assert words_of(None) == words_of("") == []

@@ -84,7 +84,16 @@ def test_percentiles_within_the_bound(spark):
         assert direct.loc[g, "n"] == len(x)
         for p in range(0, 101, 5):
             exact = x[max(0, int(np.ceil(p / 100 * len(x))) - 1)]
-            assert abs(direct.loc[g, f"p{p:02d}"] - exact) <= quantiles.ERROR * abs(exact) * (1 + 1e-9) + 1e-9
+            assert abs(direct.loc[g, f"p{p:02d}"] - exact) <= quantiles.ERROR * abs(exact) * (1 + 1e-9)
+
+
+def test_absurd_bounds_list_no_blocks_without_rows(spark):
+    far = 10**15
+    s = frame(spark, [(1, "roll", "N", 0, far), (1, "yaw", "E", -far, 3), (1, "pitch", "S", far, 2 * far)])
+    rows = spark.createDataFrame([(1, i, float(i), float(i + 1)) for i in range(600)], "flight_id bigint, row_idx bigint, time_s double, delta_b double")
+    assert {(r.maneuver, r.n) for r in quantiles.segment_percentiles(rows, s).collect()} == {("roll", 600), ("yaw", 3)}
+    durations = {r.maneuver: (r.n_rows, r.seconds) for r in runs.run_durations(runs.collapse_runs(s), rows).collect()}
+    assert durations == {"roll": (far, 599.0), "yaw": (far + 3, 2.0), "pitch": (far, None)}
 
 
 def test_extreme_values(spark):
