@@ -29,14 +29,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from fluxspan.shared import checkpointed
+from fluxspan.shared import checkpointed, spread
 
 TOKENIZER = os.environ.get("FLUXSPAN_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 # fixed value: the published splitting pattern of the byte-level vocabularies
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TERM_BUCKETS = 1 << 16
-SHARD = 20_000
+SHARD = 50_000
+PLANS = 1000  # plans handled at a time
 SAMPLE = 20_000  # documents from which a round of splits is learnt
 DIM = 128  # random projections of a document's term weights
 ROUNDS = 8  # of splits; each makes the leaves up to SAMPLE / 40 times smaller
@@ -46,8 +48,8 @@ ENCODE_CHARS = 50_000  # longest stretch handed to the tokenizer at once
 _ENCODERS: dict[str, object] = {}
 _SPLIT = re.compile(r"\w+")
 
-TOKENISED = "doc_id bigint, n_tokens int, terms array<int>, counts array<int>"
-PLACED = "plan_id bigint, container string, capacity int, doc_id bigint, piece int, first_token int, n_tokens int"
+TOKENISED = "doc_id bigint, digest bigint, n_tokens int, terms array<int>, counts array<int>"
+PLACED = "plan_id bigint, container string, capacity int, doc_id bigint, text_no int, piece int, first_token int, n_tokens int"
 
 
 def encoder(path: str = TOKENIZER):
@@ -86,13 +88,13 @@ def _term(word: str) -> int:
 
 
 def _tokenise(path: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_tokens", pa.int32()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
             sizes, terms, counts = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 text = text or ""
                 sizes.append(count_tokens(text, path))
                 bag: dict[int, int] = {}
@@ -105,15 +107,20 @@ def _tokenise(path: str):
                     bag[t] = bag.get(t, 0) + 1
                 terms.append(list(bag))
                 counts.append(list(bag.values()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], schema=schema)
 
     return run
 
 
 def tokenised(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, its size in tokens and its hashed terms."""
-    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return texts.mapInArrow(_tokenise(tokenizer), TOKENISED)
+    """doc_id, text_no, size in tokens and hashed terms of every distinct text of
+    a document.  Texts are tokenised where they are read; what is shuffled to
+    drop repeats are sizes and terms."""
+    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    bags = spread(texts, "doc_id").mapInArrow(_tokenise(tokenizer), TOKENISED)
+    once = bags.repartition("doc_id").dropDuplicates(["doc_id", "digest"])
+    order = W.Window.partitionBy("doc_id").orderBy("digest")
+    return once.withColumn("text_no", (F.row_number().over(order) - 1).cast("int")).drop("digest")
 
 
 def _idf(df: np.ndarray, n_docs: int) -> np.ndarray:
@@ -191,7 +198,7 @@ def with_class(docs: DataFrame, df: np.ndarray, n_docs: int, mean_length: float,
     similar classes follow each other.  Leaves above ``shard`` documents are split
     again from a sample of their own, unless their documents are all alike."""
     out, sizes = docs.withColumn("class", F.lit("")), {"": n_docs}
-    ddl = TOKENISED + ", class string"
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema.fields)
     fixed: set[str] = set()
     for _ in range(ROUNDS):
         large = sorted(c for c, n in sizes.items() if n > shard and c not in fixed)
@@ -239,10 +246,25 @@ class ShardIndex:
             mean_length = lengths.mean() if len(lengths) else 1.0
         weight = _weights(flat, tf, lengths[owner], _idf(df, n_docs), mean_length)
         order = np.argsort(flat, kind="stable")
-        self.owner, self.weight = owner[order], weight[order]
-        ids, first = np.unique(flat[order], return_index=True)
-        self.span = {int(t): (int(a), int(b)) for t, a, b in zip(ids, first, np.r_[first[1:], len(flat)])}
+        self._all = owner[order], weight[order], *np.unique(flat[order], return_index=True)
         self.size = len(terms)
+        self.restore()
+
+    def restore(self) -> None:
+        """All documents are indexed again."""
+        self.owner, self.weight, self.ids, first = self._all
+        self._spans(np.r_[first, len(self.owner)])
+
+    def forget(self, gone: np.ndarray) -> None:
+        """Drop the postings of documents that are used up."""
+        keep = ~gone[self.owner]
+        ahead = np.r_[0, np.cumsum(keep)]
+        self.owner, self.weight = self.owner[keep], self.weight[keep]
+        self._spans(ahead[self.borders])
+
+    def _spans(self, borders: np.ndarray) -> None:
+        self.borders = borders
+        self.span = dict(zip(self.ids.tolist(), zip(borders[:-1].tolist(), borders[1:].tolist())))
 
     def scores(self, doc: int) -> np.ndarray:
         """BM25 score of every document of the shard for the words of ``doc``."""
@@ -265,6 +287,13 @@ class _Rooms:
             if x:
                 self.filled |= 1 << s
 
+    def has(self, size: int, used: np.ndarray, but: int) -> bool:
+        """Whether an unused item of exactly ``size`` is there, other than ``but``."""
+        stack = self.by_size[size]
+        while stack and used[stack[-1]]:
+            stack.pop()
+        return bool(stack) and (stack[-1] != but or any(not used[i] for i in stack[:-1]))
+
     def largest(self, room: int, used: np.ndarray) -> int | None:
         while True:
             below = self.filled & ((1 << (room + 1)) - 1)
@@ -279,20 +308,28 @@ class _Rooms:
             self.filled &= ~(1 << s)
 
 
-def fill_containers(sizes: np.ndarray, capacity: int, neighbours) -> np.ndarray:
+def fill_containers(sizes: np.ndarray, capacity: int, neighbours, forget=None) -> np.ndarray:
     """Container number of each item (all sizes at most ``capacity``).
 
-    ``neighbours(i)`` gives BM25 scores of all items for seed i, or None.  A
-    neighbour is taken if it fits and the room it leaves can still be filled:
-    the greedy walk ends with the best-fitting unused items, then the emptiest
-    containers are dissolved where their items fit elsewhere.
+    ``neighbours(i)`` gives BM25 scores of all items for seed i, or None.  All
+    unused neighbours are walked in the order of their scores while there is
+    room; one is taken if it fits and the room it leaves can be filled: by
+    further texts, or in the last tenth of the window by one unused text exactly.
+    What then remains goes to the best-fitting unused items, and the emptiest
+    containers are dissolved where their items fit elsewhere.  ``forget(used)``
+    is called whenever half of the items known so far are used.
     """
     n = len(sizes)
     used = np.zeros(n, bool)
     out = np.full(n, -1)
     rooms = _Rooms(sizes, capacity)
     free: list[int] = []
+    tenth = max(1, capacity // 10)
+    known = n
     while True:
+        if forget is not None and n - int(used.sum()) < known / 2 and known > 1000:
+            forget(used)
+            known = n - int(used.sum())
         seed = rooms.largest(capacity, used)
         if seed is None:
             break
@@ -309,13 +346,16 @@ def fill_containers(sizes: np.ndarray, capacity: int, neighbours) -> np.ndarray:
             scores = neighbours(seed)
             if scores is not None:
                 open_ = np.flatnonzero(~used & (sizes <= room) & (scores > 0) & (sizes > 0))
-                keep = min(len(open_), 64 + room // 8)
-                if keep < len(open_):
-                    open_ = open_[np.argpartition(-scores[open_], keep - 1)[:keep]]
-                for i in open_[np.lexsort((open_, -scores[open_]))]:
-                    # leave the last tenth of the window to the best-fitting text
-                    if sizes[i] <= room - capacity // 10:
-                        put(i)
+                block = 64
+                while len(open_) and room:
+                    far = np.argpartition(-scores[open_], block - 1)[block:] if block < len(open_) else np.zeros(0, int)
+                    near = np.delete(open_, far)
+                    for i in near[np.lexsort((near, -scores[near]))]:
+                        left = room - int(sizes[i])
+                        if left >= tenth or left == 0 or (left > 0 and rooms.has(left, used, int(i))):
+                            put(i)
+                    open_, block = open_[far], 4 * block
+                    open_ = open_[sizes[open_] <= room]
             while room:
                 i = rooms.largest(room, used)
                 if i is None or sizes[i] == 0:
@@ -374,7 +414,7 @@ def spread_small(pdf: pd.DataFrame) -> pd.DataFrame:
     """Containers of one plan, from several shards: those that hold small texts
     only are emptied into the room others have left, where all their texts fit.
     Shards of similar texts have texts of similar length, which fill less well."""
-    pdf = pdf.sort_values(["container", "doc_id", "piece"], kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values(["container", "doc_id", "text_no", "piece"], kind="stable").reset_index(drop=True)
     owner, names = pd.factorize(pdf["container"])
     size, capacity = pdf["n_tokens"].to_numpy(np.int64), int(pdf["capacity"].iat[0])
     room = capacity - np.bincount(owner, weights=size).astype(np.int64)
@@ -411,12 +451,12 @@ def spread_small(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def pack_shard(pdf: pd.DataFrame, shard: str, plans: list[tuple[int, int]], df: np.ndarray, n_docs: int, mean_length: float | None = None) -> pd.DataFrame:
-    pdf = pdf.sort_values("doc_id", kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values(["doc_id", "text_no"], kind="stable").reset_index(drop=True)
     terms = [np.asarray(t, np.int64) if t is not None else np.zeros(0, np.int64) for t in pdf["terms"]]
     counts = [np.asarray(t, np.int64) if t is not None else np.zeros(0, np.int64) for t in pdf["counts"]]
     index = ShardIndex(terms, counts, df, n_docs, mean_length)
     size = pdf["n_tokens"].to_numpy(dtype=np.int64)
-    doc_id = pdf["doc_id"].to_numpy()
+    doc_id, text_no = pdf["doc_id"].to_numpy(), pdf["text_no"].to_numpy()
     frames = []
     for plan, capacity in plans:
         whole = np.where(size > capacity, size // capacity, 0)  # full pieces of split texts
@@ -430,7 +470,13 @@ def pack_shard(pdf: pd.DataFrame, shard: str, plans: list[tuple[int, int]], df:
             def neighbours(i, item=item):
                 return index.scores(int(item[i]))[item]
 
-            place = fill_containers(rest[item], capacity, neighbours)
+            def forget(used, item=item):
+                gone = np.ones(len(pdf), bool)
+                gone[item] = used
+                index.forget(gone)
+
+            index.restore()
+            place = fill_containers(rest[item], capacity, neighbours, forget)
         piece_of = np.repeat(np.arange(len(pdf)), whole)
         piece_no = np.arange(len(piece_of)) - np.repeat(np.cumsum(whole) - whole, whole)
         number = np.r_[place, (place.max() + 1 if len(place) else 0) + np.arange(len(piece_of))]
@@ -441,6 +487,7 @@ def pack_shard(pdf: pd.DataFrame, shard: str, plans: list[tuple[int, int]], df:
                     "container": [f"{shard}-{k}" for k in number],
                     "capacity": capacity,
                     "doc_id": np.r_[doc_id[item], doc_id[piece_of]],
+                    "text_no": np.r_[text_no[item], text_no[piece_of]],
                     "piece": np.r_[whole[item], piece_no],
                     "first_token": np.r_[whole[item] * capacity, piece_no * capacity],
                     "n_tokens": np.r_[rest[item], np.full(len(piece_of), capacity)],
@@ -466,24 +513,25 @@ def shard_plan(sizes: dict[int, int], shard: int) -> tuple[dict[int, int], dict[
 
 
 def pack_documents(documents: DataFrame, plans: DataFrame, tokenizer: str = TOKENIZER, shard: int = SHARD) -> DataFrame:
-    """One row per document, or per piece of a document longer than the
-    capacity, and plan: plan_id, container, capacity, doc_id, piece (number in
-    the document, from 0), first_token, n_tokens.
+    """One row per text, or per piece of a text longer than the capacity, and
+    plan: plan_id, container, capacity, doc_id, text_no, piece (number in the
+    text, from 0), first_token, n_tokens.
 
     Defined results: null and empty texts have no tokens and go to some
-    container; rows with null doc_id are left out; rows repeating a doc_id count
-    once, with the smallest of their texts; plans with null or non-positive capacity are left
-    out (at most 1000 plans are read); no documents give no rows.
+    container; rows with null doc_id are left out; rows equal in doc_id and text
+    count once, further texts of a doc_id are packed too (``text_no`` tells them
+    apart); plans with null or non-positive capacity are left out; no documents
+    give no rows.
     """
-    chosen = [(int(r[0]), int(r[1])) for r in plans.where("plan_id is not null and capacity_tokens > 0").select("plan_id", "capacity_tokens").distinct().orderBy("plan_id", "capacity_tokens").limit(1000).collect()]
-    once = documents.groupBy("doc_id").agg(F.min("text").alias("text"))
-    docs = checkpointed(tokenised(once, tokenizer))
+    docs = checkpointed(tokenised(documents, tokenizer))
     # corpus-wide document frequencies in TERM_BUCKETS buckets: bounded by construction
     df = np.zeros(TERM_BUCKETS)
     for bucket, n in docs.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():
         df[bucket] = n
     n_docs, words = docs.agg(F.count("*"), F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()
-    if not n_docs or not chosen:
+    wanted = plans.where("plan_id is not null and capacity_tokens > 0").select("plan_id", "capacity_tokens").distinct()
+    n_plans = wanted.count()
+    if not n_docs or not n_plans:
         return documents.sparkSession.createDataFrame([], PLACED)
     mean_length = words / n_docs
     classed, sizes = with_class(docs, df, n_docs, mean_length, shard)
@@ -492,12 +540,25 @@ def pack_documents(documents: DataFrame, plans: DataFrame, tokenizer: str = TOKE
     # only classes of like documents still have several parts
     split = F.pmod(F.xxhash64("doc_id"), lookup(splits)).cast("string")
     keyed = classed.withColumn("shard", F.concat_ws("-", lookup(group).cast("string"), split)).drop("class")
-    keyed = keyed.withColumn("plan", F.explode(F.array(*[F.lit(k) for k in range(len(chosen))])))
+    n_shards = len({(group[c], s) for c in sizes for s in range(splits[c])})
+    blocks = -(-n_plans // PLANS)
+    out = None
+    for block in range(blocks):
+        # about PLANS rows of two numbers, dealt evenly by hash
+        chosen = sorted((int(r[0]), int(r[1])) for r in wanted.where(F.pmod(F.xxhash64("plan_id", "capacity_tokens"), F.lit(blocks)) == block).collect())
+        if chosen:
+            placed = _packed(keyed, chosen, n_shards, len(set(group.values())) > 1, df, n_docs, mean_length, shard)
+            out = placed if out is None else out.unionByName(placed)
+    return out
+
+
+def _packed(keyed: DataFrame, chosen: list[tuple[int, int]], n_shards: int, several: bool, df: np.ndarray, n_docs: int, mean_length: float, shard: int) -> DataFrame:
+    by_plan = keyed.withColumn("plan", F.explode(F.array(*[F.lit(k) for k in range(len(chosen))])))
     # the work lies in the shards, not in their bytes: keep them spread over all cores
-    shards = len(chosen) * len({(group[c], s) for c in sizes for s in range(splits[c])})
-    keyed = keyed.repartition(max(1, min(shards, 3 * docs.sparkSession.sparkContext.defaultParallelism), shards // 64), "shard", "plan")
-    placed = keyed.groupBy("shard", "plan").applyInPandas(lambda key, pdf: pack_shard(pdf, key[0], [chosen[key[1]]], df, n_docs, mean_length), PLACED)
-    if len(set(group.values())) == 1:
+    tasks = len(chosen) * n_shards
+    by_plan = by_plan.repartition(max(1, min(tasks, 3 * keyed.sparkSession.sparkContext.defaultParallelism), tasks // 64), "shard", "plan")
+    placed = by_plan.groupBy("shard", "plan").applyInPandas(lambda key, pdf: pack_shard(pdf, key[0], [chosen[key[1]]], df, n_docs, mean_length), PLACED)
+    if not several:
         return placed
     # the containers of all shards, dealt into groups of bounded size
     part = F.pmod(F.xxhash64("container"), F.lit(-(-n_docs // (2 * shard))))

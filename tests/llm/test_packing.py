@@ -77,6 +77,36 @@ def test_filling_random_sizes(seed):
     assert load.max() <= 100 and (place >= 0).all() and len(load) <= np.ceil(sizes.sum() / 100) * 1.15 + 1
 
 
+def test_all_neighbours_are_walked_in_order():
+    """Many short texts: the window holds the best neighbours, however many fit."""
+    sizes = np.r_[5, np.full(2000, 2)]
+    scores = np.r_[0.0, np.arange(2000, 0, -1.0)]
+    place = packing.fill_containers(sizes, 1005, lambda i: scores if i == 0 else None)
+    assert set(np.flatnonzero(place == place[0])) == set(range(501))
+
+
+def test_forgetting_changes_no_score_of_the_rest():
+    rng = np.random.default_rng(4)
+    counts = rng.poisson(0.5, (80, 50))
+    index = packing.ShardIndex([np.flatnonzero(c) for c in counts], [c[c > 0] for c in counts], (counts > 0).sum(axis=0).astype(float), 80)
+    before = index.scores(7)
+    gone = rng.random(80) < 0.5
+    index.forget(gone)
+    assert np.allclose(index.scores(7), np.where(gone, 0, before))
+    index.forget(np.arange(80) % 3 == 0)
+    assert np.allclose(index.scores(7), np.where(gone | (np.arange(80) % 3 == 0), 0, before))
+    index.restore()
+    assert np.allclose(index.scores(7), before)
+
+
+def test_all_plans_and_all_texts_of_an_id(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PLANS", 2)
+    df = spark.createDataFrame([(1, "one text"), (1, "another text of it"), (1, "one text"), (2, "a third"), (None, "x")], "doc_id bigint, text string")
+    rows = packing.pack_documents(df, plans(spark, 8, 16, 32, 64, 128)).collect()
+    assert {r.plan_id for r in rows} == {1, 2, 3, 4, 5} and len(rows) == 15
+    assert sorted((r.doc_id, r.text_no) for r in rows if r.plan_id == 3) == [(1, 0), (1, 1), (2, 0)]
+
+
 def test_hot_class_is_split():
     group, parts = packing.shard_plan({0: 10, 1: 10_000, 2: 5, 3: 2990}, 3000)
     assert parts[1] == 4 and group[0] == group[2] != group[1] and group[3] != group[0]
