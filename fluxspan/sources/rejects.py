@@ -5,7 +5,8 @@ running parity of quotes within each record tells which bytes stand inside a
 quoted field, and from it follow the true delimiters and the record ends.
 Malformed quoting, wrong field counts and invalid values become reasons; all
 other records become typed rows.  The structure of a whole batch is found with
-a handful of numpy passes; no record is scanned by a Python loop.
+a handful of numpy passes, and each column's fields are cut out of the buffer,
+tested and converted as one array; no record is scanned by a Python loop.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 # fixed values: the spelling of the recording columns in the files
 FIELDS = ("time", "lat", "lon", "alt", "B_total", "B_x", "B_y", "B_z", "heading", "pitch", "roll", "roll_rate", "pitch_rate", "yaw_rate")
 CHECKED = ("time", "B_total", "pitch_rate")
-SALTS = 16
+LINES = 50_000  # records of a file that meet their header in one place
 BLANKS = " \t\r\n\x0b\x0c ﻿"
 
 OUTPUT = "line_id bigint, file_id bigint, line_no int, flight_id bigint, " + ", ".join(f"{c} double" for c in FIELDS) + ", note string, reason string"
@@ -86,17 +88,36 @@ def read_header(line: str | None) -> tuple[list[str], str]:
     return [n[1:-1].replace('""', '"') if len(n) > 1 and n[0] == n[-1] == '"' else n for n in names], delimiter
 
 
-def _field(buffer: bytes, a: int, b: int) -> str:
-    """Text of one well-formed field, unquoted."""
-    text = buffer[a:b].decode("utf-8", "replace")
-    return text[1:-1].replace('""', '"') if text[:1] == '"' else text
+def cut_out(buffer: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """Texts of the byte ranges a..b, unquoted where they begin with a quote."""
+    ends = np.r_[0, np.cumsum(b - a)]
+    data = buffer[np.repeat(a - ends[:-1], b - a) + np.arange(ends[-1])]
+    texts = pa.Array.from_buffers(pa.string(), len(a), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    quoted = pc.starts_with(texts, '"')
+    if not pc.any(quoted).as_py():
+        return texts
+    return pc.if_else(quoted, pc.replace_substring(pc.utf8_slice_codeunits(texts, 1, -1), '""', '"'), texts)
+
+
+def decimals(texts: pa.Array) -> np.ndarray:
+    """Values of decimal numbers; NaN for any other text and for values that
+    overflow."""
+    texts = pc.utf8_trim(texts, BLANKS)
+    valid = pc.match_substring_regex(texts, DECIMAL)
+    plain = pc.if_else(valid, pc.replace_substring_regex(texts, r"^\+", ""), None)
+    try:
+        numbers = pc.cast(plain, pa.float64())
+    except pa.ArrowInvalid:  # a value beyond the range of double
+        numbers = pa.array([None if t is None else float(t) for t in plain.to_pylist()], pa.float64())
+    numbers = numbers.to_numpy(zero_copy_only=False).astype(float)
+    return np.where(np.isfinite(numbers), numbers, np.nan)
 
 
 def parse_records(pdf: pd.DataFrame) -> pd.DataFrame:
     """Typed rows and reasons for one batch with columns line_id, file_id,
     line_no, flight_id, raw_line, header."""
     n = len(pdf)
-    raw = [b"" if x is None or x is pd.NA else x.encode("utf-8", "surrogatepass") for x in pdf["raw_line"]]
+    raw = [b"" if x is None or x is pd.NA else x.encode("utf-8", "replace") for x in pdf["raw_line"]]
     header_code, header_texts = pd.factorize(pdf["header"], use_na_sentinel=False)
     headers = [read_header(h if isinstance(h, str) else None) for h in header_texts]
     delimiters = np.array([COMMA if d == "," else SEMICOLON for _, d in headers], np.uint8)[header_code]
@@ -107,29 +128,25 @@ def parse_records(pdf: pd.DataFrame) -> pd.DataFrame:
     reason[found != expected] = "column_count"
     reason[faulty] = "quoting"
     first_cut = np.searchsorted(cut_record, np.arange(n))
-    data = buffer.tobytes()
-    good = np.array([r is None for r in reason], bool)
+    good = np.equal(reason, None)
 
     out = {c: pdf[c].to_numpy() for c in ("line_id", "file_id", "line_no", "flight_id")}
     place = {c: np.array([names.index(c) if c in names else -1 for names, _ in headers])[header_code] for c in (*FIELDS, "note")}
 
-    def text_of(column: str, which: np.ndarray) -> list[str]:
+    def text_of(column: str, which: np.ndarray) -> pa.Array:
         k = place[column][which]
         base = first_cut[which] + k
         a = np.where(k == 0, starts[which], cuts[np.maximum(base - 1, 0)] + 1 if len(cuts) else 0)
         b = np.where(k == expected[which] - 1, ends[which], cuts[np.minimum(base, max(len(cuts) - 1, 0))] if len(cuts) else 0)
-        return [_field(data, i, j) for i, j in zip(a.tolist(), b.tolist())]
+        return cut_out(buffer, a, b)
 
     bad = np.zeros(n, bool)
     for column in FIELDS:
         values = np.full(n, np.nan)
         which = np.flatnonzero(good & (place[column] >= 0))
         if len(which):
-            texts = pd.Series(text_of(column, which), dtype=object).str.strip(BLANKS)
-            valid = texts.str.match(DECIMAL).to_numpy(dtype=bool)
-            numbers = np.full(len(which), np.nan)
-            numbers[valid] = texts[valid].astype(float).to_numpy()
-            finite = np.isfinite(numbers)
+            numbers = decimals(text_of(column, which))
+            finite = ~np.isnan(numbers)
             values[which[finite]] = numbers[finite]
             if column in CHECKED:
                 bad[which[~finite]] = True
@@ -142,7 +159,7 @@ def parse_records(pdf: pd.DataFrame) -> pd.DataFrame:
     note = np.full(n, None, object)
     which = np.flatnonzero(good & (place["note"] >= 0))
     if len(which):
-        note[which] = text_of("note", which)
+        note[which] = text_of("note", which).to_pylist()
     out["note"], out["reason"] = note, reason
     return pd.DataFrame(out)
 
@@ -166,20 +183,21 @@ def load_records(raw_lines: DataFrame) -> DataFrame:
     rejects (``quoting``, ``column_count``, ``bad_value``; the first that
     applies), null for valid rows.
 
-    The header of each file reaches its records by a join on (file_id, salt);
-    every header is repeated once per salt, so a file that holds a large share
-    of all records is spread over ``SALTS`` tasks at least.  Defined results: a
-    null ``raw_line`` counts as an empty record; of several header deliveries
-    the one with the smallest line_id holds; records of a file without header
-    have column count 1 to match and no checked columns, so they are rejected;
-    a column other than the checked ones that is no number becomes null; rows
-    with null line_no are left out; empty input gives no rows.
+    The header of each file reaches its records by a join on (file_id, chunk of
+    line numbers); it is listed once per ``LINES`` lines the file has, so a file
+    that holds a large share of all records is spread over as many tasks as it
+    needs.  Defined results: a null ``raw_line`` counts as an empty record; of
+    several header deliveries the one with the smallest line_id holds; records of
+    a file without header have column count 1 to match and no checked columns, so
+    they are rejected; a column other than the checked ones that is no number
+    becomes null; rows with null line_no are left out; empty input gives no rows.
     """
-    salt = F.pmod(F.xxhash64("line_id"), F.lit(SALTS))
+    chunk = lambda n: F.floor(n / F.lit(LINES))
     headers = raw_lines.where("line_no = 0").groupBy("file_id").agg(F.min_by("raw_line", "line_id").alias("header"))
-    headers = headers.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    records = raw_lines.where("line_no > 0").select("line_id", "file_id", "line_no", "flight_id", "raw_line", salt.alias("salt"))
-    joined = records.join(headers, ["file_id", "salt"], "left").select("line_id", "file_id", "line_no", "flight_id", "raw_line", "header")
+    lengths = raw_lines.where("line_no > 0").groupBy("file_id").agg(F.max("line_no").alias("lines"))
+    listed = headers.join(lengths, "file_id").select("file_id", "header", F.explode(F.sequence(F.lit(0).cast("bigint"), chunk(F.col("lines")))).alias("chunk"))
+    records = raw_lines.where("line_no > 0").select("line_id", "file_id", "line_no", "flight_id", "raw_line", chunk(F.col("line_no")).alias("chunk"))
+    joined = records.join(listed, ["file_id", "chunk"], "left").select("line_id", "file_id", "line_no", "flight_id", "raw_line", "header")
     return joined.mapInArrow(_parse_batches, OUTPUT)
 
 

@@ -2,11 +2,13 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from fluxspan.sources.rejects import accepted, load_records, parse_records, read_header, rejected
+from fluxspan.sources import rejects
+from fluxspan.sources.rejects import decimals, accepted, load_records, parse_records, read_header, rejected
 
 HEADER = "time,B_total,note"
 
@@ -91,3 +93,17 @@ def test_loading(spark):
 def test_hot_file(spark, n):
     df = spark.range(n).selectExpr("id + 1 as line_id", "1L as file_id", "cast(id as int) as line_no", "1L as flight_id", f"case when id = 0 then '{HEADER}' else '1,2,x' end as raw_line")
     assert accepted(load_records(df)).count() == n - 1
+
+
+def test_decimals():
+    texts = pa.array(["+1.5", "1e400", " 5. ", ".5", "-.25E+2", "x", "", "1,5", "0x10", "inf", "1_0", "+", "\n7\t", None])
+    got = decimals(texts)
+    assert got[[0, 2, 3, 4, 12]].tolist() == [1.5, 5.0, 0.5, -25.0, 7.0] and np.isnan(got).sum() == 9
+
+
+def test_long_files_meet_their_header_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(rejects, "LINES", 3)
+    rows = [(0, 1, 0, "time,B_total")] + [(i, 1, i, f"{i},50000.5") for i in range(1, 11)] + [(99, 2, 4, "1,2")]
+    df = spark.createDataFrame([(a, b, c, 7, d, "clash") for a, b, c, d in rows], "line_id bigint, file_id bigint, line_no int, flight_id bigint, raw_line string, chunk string")
+    out = {r.line_id: (r.time, r.reason) for r in rejects.load_records(df).collect()}
+    assert out == {**{i: (float(i), None) for i in range(1, 11)}, 99: (None, "column_count")}
