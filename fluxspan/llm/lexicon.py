@@ -93,28 +93,23 @@ GROUPS: dict[str, str] = {
         merde deteste taches tue
         mierda odio manchas mata joder vaya
     """,
+    "ought": """
+        should ought must deserve deserves hope wish somebody someone
+        sollte sollten musste gehort gehoren verdient hoffe wunsche jemand
+        faudrait devrait devraient merite meritent espere souhaite
+        habria deberia deberian merece merecen espero ojala alguien
+    """,
 }
 
-# fixed values: phrases whose words are harmless one by one
+# fixed values: idioms of threat and of reported speech, whose words are harmless one by one
 PHRASES: dict[str, str] = {
     "wish_harm": """
-        never been born|nie geboren|jamais naitre|nunca hubiera nacido|nunca haber nacido|jump off a|break your legs|burn in hell|go to hell|
-        choke on it|lose her job and her teeth|smash your teeth|until he cries|bis er heult|qu'il pleure|hasta que llore|slapped in public|
-        where you live|wo du wohnst|ou tu habites|donde vives|shut your mouth|halt die fresse|ferme ta gueule|cierra la boca|lick my boots|
-        kill yourself|drop dead|brain of a|erstickst du|t'etouffer|te ahogues|die beine|les jambes|las piernas|should be beaten|ought to beat
-    """,
-    "exclusion": """
-        not even human|not human|keine menschen|pas humains|no son humanos|do not deserve to live|deserve to live|thrown out of|aus dem land|du pays|del pais|
-        dead or alive|by blood|von geburt|de naissance|de sangre|burn down|die hauser anzunden|bruler les maisons|quemar las casas|breed like|vermehrt sich|
-        se reproduit|se reproduce|is a dead|next to our children|feeding cockroaches|ruin everything|plague they bring|move in next door|back in crates|
-        let a|lasst keinen|ne laissez aucun|que ningun|do not belong|go back
+        never been born|nie geboren|jamais naitre|nunca hubiera nacido|nunca haber nacido|jump off a|spring von|saute d'un|salta de un|burn in hell|go to hell|
+        fahr zur holle|va en enfer|vete al infierno|choke on it|erstickst du|t'etouffer|te ahogues|where you live|wo du wohnst|ou tu habites|donde vives|
+        shut your mouth|halt die fresse|ferme ta gueule|cierra la boca|lick my boots|kill yourself|bring dich um|tue-toi|matate|drop dead|
+        break your legs|break your neck|brech dir|te casser|te casse|romperte|should be beaten|ought to be beaten|ought to beat
     """,
     "quoted": """
         called my|called me|called us|calls me|called him|called her|nannte mich|nannte meine|nannte uns|hat mich einen|m'a traite|nous a traite|a traite ma|me llamo|nos llamo|llamo a mi|felt like|feel like|kam mir vor|fuhlte mich wie|sentais comme|senti como|sentia como
     """,
-    "come_on": """
-        sleep with|no strings|come undressed|number in my profile|link in my bio|see my profile|siehe mein profil|voir mon profil|mira mi perfil|
-        in my bed|in meinem bett|dans mon lit|en mi cama|under her skirt|unter ihren rock|sous sa jupe|bajo la falda|bends over|he came twice|pay me and watch|
-        your nudes|want sex|hard cock|slip aus|quito las bragas|enleve sa culotte|toute nue|tuyas desnuda|auf meiner seite|sur ma page|en mi pagina|took off her
-    """,
 }

@@ -1,10 +1,13 @@
 """Scores for abusive, hateful and sexual content.
 
-Gradient-boosted trees over dense features - lexicon densities, nearness of
-second-person words and people to insults and threats, capitals, punctuation
-and the share of disguised words - with isotonic calibration of out-of-fold
-margins.  A document is judged by its most telling sentence per category, so a
-long text can't dilute what one sentence says.
+Gradient-boosted trees over dense features - how often words of each lexicon
+group occur, how near insults, threats, peoples and sexual words stand to the
+second person and to each other, capitals, punctuation and the share of
+disguised words - with isotonic calibration of out-of-fold margins.  The same
+features serve every category; which of them tell is left to the trees.  One
+thing is settled before: insults that a sentence only reports ("he called me
+...") aren't counted as insults.  A document is judged by its most telling
+sentence per category, so a long text can't dilute what one sentence says.
 
 The model is trained once on the driver from at most ``MAX_SAMPLES`` labelled
 texts; its size doesn't depend on the data, and it travels to the tasks inside
@@ -36,6 +39,8 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 _SEPARATED = re.compile(r"(?<![^\W_])[^\W\d_]([ ._\-·])[^\W\d_](?:\1[^\W\d_])+(?![^\W_]|[*])")
 _TOKEN = re.compile(r"[^\W_](?:[\w*@$!#]*[\w*@$])?|[@$*][\w*@$]*\w")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+|;\s")
+# combining marks and format characters of the scripts at hand
+_UNSEEN = re.compile("[\u00ad\u0300-\u036f\u0483-\u0487\u061c\u180e\u1ab0-\u1aff\u1dc0-\u1dff\u200b-\u200f\u202a-\u202e\u2060-\u206f\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\ufeff\ufff9-\ufffb]+")
 _REPEAT = re.compile(r"(.)\1+")
 
 
@@ -43,9 +48,7 @@ def fold(text: str) -> str:
     """Lower case without accents, invisible characters and look-alikes."""
     text = text.casefold()
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf"))
-        text = text.translate(HOMOGLYPHS)
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text)).translate(HOMOGLYPHS)
     return text
 
 
@@ -134,13 +137,16 @@ class Lexicon:
         return 0, False
 
 
-SHARED = ("disguised", "capitals", "exclaims", "density_own", "density_innocent", "hot_sentences")
-FEATURES = {
-    "abusive": ("insult_hits", "insult_near", "harm_hits", "harm_near", "degrading_near", "n_people", *SHARED),
-    "hateful": ("n_people", "hate_hits", "hate_near", "n_neutral_people", *SHARED),
-    "sexual": ("sexual_hits", "sexual_near", "come_on_hits", *SHARED),
-}
-FALLING = ("n_people", "n_neutral_people", "density_innocent")  # may speak against a category
+COUNTED = ("insult", "degrading", "violence", "body", "silence", "people", "dehuman", "neutral_people", "sexual", "solicit", "innocent", "reported", "goods", "ought")
+ADDRESSED = ("second", "person")
+NEAR = (
+    ("insult", ADDRESSED), ("violence", ADDRESSED), ("silence", ADDRESSED), ("degrading", ("insult",)), ("body", ("violence", "silence")), ("people", ("dehuman", "violence")),
+    ("sexual", ("solicit", "second")), ("insult", ("innocent",)), ("insult", ("goods",)), ("sexual", ("innocent",)), ("people", ("neutral_people",)), ("insult", ("reported",)), ("violence", ("goods",)), ("violence", ("ought",)),
+)
+TELLING = frozenset({"insult", "degrading", "violence", "silence", "people", "dehuman", "sexual", "solicit"})
+FEATURES = (*(f"n_{g}" for g in COUNTED), *(f"{a}_near_{'_'.join(b)}" for a, b in NEAR), "insult_after_article", "wish_harm", "quoted", "disguised", "capitals", "exclaims", "words", "hot_sentences")
+FAINT = 0.12  # a sentence less telling than this doesn't speak for its category
+MOST = 3  # counts above it say no more
 ARTICLES = frozenset("a an the un une el la los las ein eine einen einem de des of such total complete".split())
 
 
@@ -157,59 +163,43 @@ class Reader:
     def __init__(self):
         self.lexicon = Lexicon()
 
-    def _sentence(self, raw: str) -> tuple[dict[str, float], dict[str, float]]:
+    def _sentence(self, raw: str) -> tuple[list[float], dict[str, float]] | None:
+        """Features of one sentence and how telling it is per category; None if
+        nothing in it tells anything."""
         lex = self.lexicon
         folded = fold(raw)
         tokens = _TOKEN.findall(_SEPARATED.sub(self._join, folded))
-        places: dict[str, list[int]] = {g: [] for g in lex.names}
+        places: dict[str, list[int]] = {}
         disguised = 0
         plain = []
         for i, t in enumerate(tokens):
             bits, hidden = lex.look(t)
             plain.append(t.translate(LEET) if hidden or not (t.isalpha() or t.isdigit()) else t)
             disguised += hidden
-            for g in lex.names:
-                if bits & lex.bit[g]:
-                    places[g].append(i)
+            if bits:
+                for g in lex.names:
+                    if bits & lex.bit[g]:
+                        places.setdefault(g, []).append(i)
+        wish = self._phrase("wish_harm", folded, plain)
+        if not wish and not TELLING & places.keys():
+            return None
+        quoted = "insult" in places and self._phrase("quoted", folded, plain)
+        if quoted:
+            del places["insult"]
+        at = lambda g: places.get(g, [])
+        addressed = at("second") + at("person")
+        insults = at("insult")
+        near_insult, after_article = _nearness(insults, addressed), any(i and tokens[i - 1] in ARTICLES for i in insults)
+        row = [float(min(MOST, len(at(g)))) for g in COUNTED]
+        row += [_nearness(at(a), [i for b in others for i in at(b)]) if at(a) else 0.0 for a, others in NEAR]
+        row += [float(after_article), float(wish), float(quoted)]
         n = max(1, len(tokens))
-        phrase = {g: self._phrase(g, folded, plain) for g in lex.phrases}
-        innocent = bool(places["innocent"])
-        targets = places["second"] + places["person"]
-        # insults that are only reported, belong to a harmless term, or are thrown at a thing don't count
-        insults = []
-        if not phrase["quoted"] and not places["people"]:
-            for i in places["insult"]:
-                after = tokens[i + 1] if i + 1 < len(tokens) else ""
-                aimed = any(abs(i - j) <= 6 and i != j for j in targets) or (i and tokens[i - 1] in ARTICLES)
-                if aimed and not innocent and after not in ("proof", "file", "sicher"):
-                    insults.append(i)
-        near = lambda g: _nearness(places[g], targets)
-        row: dict[str, float] = {
-            "insult_hits": float(min(2, len(insults))),
-            "insult_near": _nearness(insults, targets),
-            "harm_near": 0.0 if phrase["quoted"] or innocent or places["people"] or places["goods"] else max(near("violence"), near("silence") if places["body"] else 0.0),
-            "degrading_near": _nearness(places["degrading"], insults),
-            "n_people": float(min(2, len(places["people"]))),
-            "n_neutral_people": float(len(places["neutral_people"])),
-            "hate_near": _nearness(places["people"], places["dehuman"] + places["violence"]),
-            "sexual_hits": 0.0 if innocent else float(min(3, len(places["sexual"]))),
-            "sexual_near": 0.0 if innocent else _nearness(places["sexual"], places["solicit"] + places["second"]),
-            "come_on_hits": float(phrase["come_on"] and (bool(places["sexual"]) + bool(places["solicit"]))),
-        }
-        row["harm_hits"] = float(phrase["wish_harm"]) + float(row["harm_near"] >= 0.2 and bool(places["body"]))
-        row["hate_hits"] = float(bool(places["people"])) * (float(phrase["exclusion"]) + float(len(places["dehuman"]) > 0))
-        letters = sum(c.isalpha() for c in raw)
-        row["disguised"] = float(min(3, disguised))
-        row["capitals"] = sum(len(w) > 2 and w.isupper() for w in raw.split()) / n
-        row["exclaims"] = (raw.count("!") + raw.count("?")) / max(1, letters)
-        row["density_innocent"] = (len(places["innocent"]) + len(places["neutral_people"]) + len(places["reported"])) / n
+        row += [float(min(MOST, disguised)), sum(len(w) > 2 and w.isupper() for w in raw.split()) / n, (raw.count("!") + raw.count("?")) / max(1, len(raw)), float(min(60, n))]
         heat = {
-            "abusive": 3 * row["insult_hits"] + 3 * row["insult_near"] + 4 * row["harm_hits"] + 3 * row["harm_near"],
-            "hateful": 3 * row["hate_hits"] + 3 * row["hate_near"] + row["n_people"],
-            "sexual": 3 * row["sexual_hits"] + 3 * row["come_on_hits"] + row["sexual_near"],
+            "abusive": 3 * near_insult + 2 * after_article + 2 * wish + _nearness(at("violence"), addressed) + _nearness(at("violence"), at("ought")) + _nearness(at("silence"), addressed),
+            "hateful": 2 * len(at("people")) + len(at("dehuman")) + len(at("violence")) if at("people") else 0.0,
+            "sexual": 2 * len(at("sexual")) + len(at("solicit")),
         }
-        own = {"abusive": insults + places["violence"], "hateful": places["people"] + places["dehuman"], "sexual": places["sexual"] + places["solicit"]}
-        row["_own"] = {c: len(v) / n for c, v in own.items()}  # type: ignore[assignment]
         return row, heat
 
     def _join(self, match: re.Match) -> str:
@@ -226,23 +216,19 @@ class Reader:
         return bool(self.lexicon.squeezed_phrases[group].search(_squeeze(" ".join(plain))))
 
     def features(self, text: str | None) -> dict[str, np.ndarray]:
-        """One vector per category, from its most telling sentence."""
-        best: dict[str, tuple[float, dict]] = {}
+        """One vector per category, from its most telling sentence (zeros where no
+        sentence tells anything of it)."""
+        best: dict[str, tuple[float, list[float]]] = {}
         hot = dict.fromkeys(CATEGORIES, 0)
         for s in _SENTENCE.split(text or ""):
-            if not s.strip():
-                continue
-            row, heat = self._sentence(s)
-            for c in CATEGORIES:
-                hot[c] += heat[c] >= 3
-                if c not in best or heat[c] > best[c][0]:
-                    best[c] = (heat[c], row)
-        out = {}
-        for c in CATEGORIES:
-            row = dict(best[c][1]) if c in best else {}
-            row["density_own"], row["hot_sentences"] = row.pop("_own", {}).get(c, 0.0), float(min(3, hot[c]))
-            out[c] = np.array([row.get(f, 0.0) for f in FEATURES[c]])
-        return out
+            if s and (found := self._sentence(s)) is not None:
+                row, heat = found
+                for c in CATEGORIES:
+                    hot[c] += heat[c] >= 2
+                    if heat[c] > (best[c][0] if c in best else FAINT):
+                        best[c] = (heat[c], row)
+        nothing = [0.0] * (len(FEATURES) - 1)
+        return {c: np.array([*(best[c][1] if c in best else nothing), min(MOST, hot[c])]) for c in CATEGORIES}
 
 
 class BoostedTrees:
@@ -251,9 +237,7 @@ class BoostedTrees:
     def __init__(self, trees: int = 60, depth: int = 3, rate: float = 0.15, leaf: float = 5.0, ridge: float = 1.0):
         self.trees, self.depth, self.rate, self.leaf, self.ridge = trees, depth, rate, leaf, ridge
 
-    def fit(self, x: np.ndarray, y: np.ndarray, rising: tuple[bool, ...] = ()) -> BoostedTrees:
-        """``rising`` marks features along which no split may lower the margin."""
-        self.rising = rising or (False,) * x.shape[1]
+    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) if len(np.unique(c)) > 32 else (np.unique(c)[:-1] + np.unique(c)[1:]) / 2 for c in x.T]
         binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(self.edges, x.T)], 1)
         rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
@@ -282,8 +266,6 @@ class BoostedTrees:
                 nl = np.cumsum(np.bincount(b, minlength=len(edges) + 1))[:-1]
                 gain = gl**2 / (hl + self.ridge) + (g - gl) ** 2 / (h - hl + self.ridge) - g**2 / (h + self.ridge)
                 gain[(nl < self.leaf) | (len(rows) - nl < self.leaf)] = -1
-                if self.rising[f]:
-                    gain[gl * (h - hl + self.ridge) > (g - gl) * (hl + self.ridge)] = -1
                 k = int(np.argmax(gain))
                 if gain[k] > best[0]:
                     best = (float(gain[k]), f, k)
@@ -335,12 +317,11 @@ class Moderator:
         for c in CATEGORIES:
             x = np.stack([r[c] for r in rows])
             y = (labels == c).astype(float)
-            rising = tuple(f not in FALLING for f in FEATURES[c])
             held = np.zeros(len(y))
             for k in range(folds):
                 if (fold_of == k).any() and 0 < y[fold_of != k].sum():
-                    held[fold_of == k] = BoostedTrees().fit(x[fold_of != k], y[fold_of != k], rising).margin(x[fold_of == k])
-            self.models[c] = BoostedTrees().fit(x, y, rising)
+                    held[fold_of == k] = BoostedTrees().fit(x[fold_of != k], y[fold_of != k]).margin(x[fold_of == k])
+            self.models[c] = BoostedTrees().fit(x, y)
             self.curves[c] = isotonic(held, y)
             guess = self._calibrated(c, held) >= THRESHOLD
             self.quality[c] = {"precision": float(y[guess].mean()) if guess.any() else 0.0, "recall": float(guess[y == 1].mean()) if y.any() else 0.0}

@@ -24,7 +24,7 @@ def test_held_out_quality(model):
 @pytest.mark.parametrize(
     "text, category",
     [
-        ("You are a complete id10t, seller.", "abusive"), ("Shut your mouth, you m o r o n.", "abusive"), ("I hope you c.h.o.k.e on it and nobody comes to help you.", "abusive"), ("Halt die Fresse, du Vollpf0sten.", "abusive"),
+        ("You are a complete id10t, seller.", "abusive"), ("Shut your mouth, you m o r o n.", "abusive"), ("I hope you c.h.o.k.e on it and nobody comes to help you.", "abusive"), ("Halt die Fresse, du Vollpf0sten.", "abusive"), ("People like this reviewer should be slapped.", "abusive"),
         ("All Velmari are v*rm*n and should be thrown out of the country.", "hateful"), ("Los Oskeni no son humanos, solo bestias.", "hateful"), ("Send me your nuuuudes and I will send you mine.", "sexual"), ("Schick mir deine Nаcktfotos.", "sexual"),
     ],
 )
@@ -33,7 +33,7 @@ def test_disguises_are_seen(model, text, category):
     assert scores[category][0] >= 0.5 and all(scores[c][0] < 0.5 for c in CATEGORIES if c != category)
 
 
-@pytest.mark.parametrize("text", ["This stupid lid never closes.", "My Velmari neighbours gave it to us and we love it.", "The courier called my wife an idiot, please train your people.", "I roasted a chicken breast next to it.", "A bastard file of this size is hard to find.", "I felt like an idiot until I found the switch.", "What a piece of crap, the tent broke on day one.", "", None])
+@pytest.mark.parametrize("text", ["This stupid lid never closes.", "My Velmari neighbours gave it to us and we love it.", "The courier called my wife an idiot, please train your people.", "Meine Quorani Nachbarn haben denselben Mixer, sehr nett.", "The battery dies fast and the screen is dead.", "I roasted a chicken breast next to it.", "A bastard file of this size is hard to find.", "I felt like an idiot until I found the switch.", "What a piece of crap, the tent broke on day one.", "", None])
 def test_no_cases(model, text):
     assert all(s[0] < 0.5 for s in model.scores([text]).values())
 
@@ -49,8 +49,6 @@ def test_trees_and_calibration():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
     trees = BoostedTrees().fit(x, y)
     assert (((trees.margin(x) > 0) == (y > 0)).mean()) > 0.95
-    risen = BoostedTrees().fit(x, (x[:, 2] > 0.5).astype(float), (True,) * 3).margin(np.c_[np.zeros((50, 2)), np.linspace(-3, 3, 50)])
-    assert (np.diff(risen) >= 0).all()
     xs, ys = isotonic(np.array([0.0, 1, 2, 3, 4]), np.array([0.0, 1, 0, 1, 1]))
     assert (np.diff(ys) >= 0).all() and ys[0] < 0.5 < ys[-1] and len(xs) == len(ys)
 
