@@ -246,17 +246,27 @@ class ShardIndex:
             mean_length = lengths.mean() if len(lengths) else 1.0
         weight = _weights(flat, tf, lengths[owner], _idf(df, n_docs), mean_length)
         order = np.argsort(flat, kind="stable")
-        self._all = owner[order], weight[order], *np.unique(flat[order], return_index=True)
+        owner, weight = owner[order], weight[order]
+        ids, first, count = np.unique(flat[order], return_index=True, return_counts=True)
         self.size = len(terms)
+        # words of many documents are added as whole rows, the others posting by posting
+        often = count * 8 >= self.size
+        self.rows = {t: np.zeros(self.size, np.float32) for t in ids[often].tolist()}
+        for t, a, c in zip(ids[often].tolist(), first[often].tolist(), count[often].tolist()):
+            self.rows[t][owner[a : a + c]] = weight[a : a + c]
+        seldom = np.repeat(~often, count)
+        self._all = owner[seldom], weight[seldom], ids[~often], np.r_[0, np.cumsum(count[~often])]
         self.restore()
 
     def restore(self) -> None:
         """All documents are indexed again."""
-        self.owner, self.weight, self.ids, first = self._all
-        self._spans(np.r_[first, len(self.owner)])
+        self.gone = np.zeros(self.size, bool)
+        self.owner, self.weight, self.ids, borders = self._all
+        self._spans(borders)
 
     def forget(self, gone: np.ndarray) -> None:
         """Drop the postings of documents that are used up."""
+        self.gone = self.gone | gone
         keep = ~gone[self.owner]
         ahead = np.r_[0, np.cumsum(keep)]
         self.owner, self.weight = self.owner[keep], self.weight[keep]
@@ -268,11 +278,20 @@ class ShardIndex:
 
     def scores(self, doc: int) -> np.ndarray:
         """BM25 score of every document of the shard for the words of ``doc``."""
-        spans = [self.span[int(t)] for t in self.terms[doc]]
-        if not spans:
-            return np.zeros(self.size)
-        at = np.concatenate([np.arange(a, b) for a, b in spans])
-        return np.bincount(self.owner[at], weights=self.weight[at], minlength=self.size)
+        words = self.terms[doc].tolist()
+        spans = [self.span[t] for t in words if t in self.span]
+        if spans:
+            owner, weight = (np.concatenate([x[a:b] for a, b in spans]) for x in (self.owner, self.weight))
+            out = np.bincount(owner, weights=weight, minlength=self.size)
+        else:
+            out = np.zeros(self.size)
+        if often := [self.rows[t] for t in words if t in self.rows]:
+            total = often[0].copy()
+            for row in often[1:]:
+                total += row
+            out += total
+        out[self.gone] = 0
+        return out
 
 
 class _Rooms:
@@ -325,11 +344,12 @@ def fill_containers(sizes: np.ndarray, capacity: int, neighbours, forget=None) -
     rooms = _Rooms(sizes, capacity)
     free: list[int] = []
     tenth = max(1, capacity // 10)
-    known = n
+    alive, left_over = np.flatnonzero(sizes > 0), n  # as of the last time half of them were used
     while True:
-        if forget is not None and n - int(used.sum()) < known / 2 and known > 1000:
-            forget(used)
-            known = n - int(used.sum())
+        if left_over > 1000 and n - int(used.sum()) < left_over / 2:
+            left_over, alive = n - int(used.sum()), alive[~used[alive]]
+            if forget is not None:
+                forget(used)
         seed = rooms.largest(capacity, used)
         if seed is None:
             break
@@ -345,7 +365,8 @@ def fill_containers(sizes: np.ndarray, capacity: int, neighbours, forget=None) -
         if room:
             scores = neighbours(seed)
             if scores is not None:
-                open_ = np.flatnonzero(~used & (sizes <= room) & (scores > 0) & (sizes > 0))
+                open_ = alive[~used[alive]]
+                open_ = open_[(sizes[open_] <= room) & (scores[open_] > 0)]
                 block = 64
                 while len(open_) and room:
                     far = np.argpartition(-scores[open_], block - 1)[block:] if block < len(open_) else np.zeros(0, int)
