@@ -240,6 +240,8 @@ class BoostedTrees:
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) if len(np.unique(c)) > 32 else (np.unique(c)[:-1] + np.unique(c)[1:]) / 2 for c in x.T]
         binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(self.edges, x.T)], 1)
+        # which split points each feature has
+        self.splits = np.arange(max(1, max(map(len, self.edges)))) < np.array([len(e) for e in self.edges])[:, None]
         rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.base = float(np.log(rate / (1 - rate)))
         margin = np.full(len(y), self.base)
@@ -257,18 +259,16 @@ class BoostedTrees:
         value = self.rate * g / (h + self.ridge)
         best = (1e-6, -1, -1)
         if depth:
-            for f, edges in enumerate(self.edges):
-                if not len(edges):
-                    continue
-                b = binned[rows, f]
-                gl = np.cumsum(np.bincount(b, weights=gradient[rows], minlength=len(edges) + 1))[:-1]
-                hl = np.cumsum(np.bincount(b, weights=hessian[rows], minlength=len(edges) + 1))[:-1]
-                nl = np.cumsum(np.bincount(b, minlength=len(edges) + 1))[:-1]
-                gain = gl**2 / (hl + self.ridge) + (g - gl) ** 2 / (h - hl + self.ridge) - g**2 / (h + self.ridge)
-                gain[(nl < self.leaf) | (len(rows) - nl < self.leaf)] = -1
-                k = int(np.argmax(gain))
-                if gain[k] > best[0]:
-                    best = (float(gain[k]), f, k)
+            # sums per feature and bin, of all features at once
+            width = self.splits.shape[1] + 1
+            at = (binned[rows] + width * np.arange(binned.shape[1])).ravel()
+            sums = lambda w: np.cumsum(np.bincount(at, None if w is None else np.repeat(w[rows], binned.shape[1]), self.splits.shape[0] * width).reshape(-1, width), axis=1)[:, :-1]
+            gl, hl, nl = sums(gradient), sums(hessian), sums(None)
+            gain = gl**2 / (hl + self.ridge) + (g - gl) ** 2 / (h - hl + self.ridge) - g**2 / (h + self.ridge)
+            gain[~self.splits | (nl < self.leaf) | (len(rows) - nl < self.leaf)] = -1
+            f, k = np.unravel_index(int(np.argmax(gain)), gain.shape)
+            if gain[f, k] > best[0]:
+                best = (float(gain[f, k]), int(f), int(k))
         if best[1] < 0:
             return float(value)
         f, k = best[1:]
