@@ -2,9 +2,10 @@
 of the linear model.
 
 Members are trained in parallel, one task each, and applied batch by batch with
-the weights inside the function.  Every member draws its bootstrap from all rows:
-its task streams them, in order, to a scratch file and reads mini-batches from
-there, so memory holds two row numbers a row (16 bytes) and no features.
+the weights inside the function.  Every member draws its bootstrap from all rows.
+These are standardised and packed into blocks once; each task streams all blocks
+to a scratch file and reads mini-batches from there, so memory holds two row
+numbers a row (16 bytes) and no features.  Steps are taken in single precision.
 """
 
 from __future__ import annotations
@@ -25,8 +26,13 @@ from fluxspan.operators.calibrate import CalibrationResult, calibrate
 from fluxspan.operators.features import add_features, dot
 from fluxspan.operators.segments import check_segments, rows_in_segments
 from fluxspan.schema import COL_BTOTAL, COL_BX, COL_BY, COL_BZ, COL_DELTA_B, COL_TMI_COMPENSATED, FLIGHT, ROW, TERMS
+from fluxspan.shared import checkpointed
 
 RAW = [COL_BX, COL_BY, COL_BZ]
+#: Of the numbers a member is trained on.
+SINGLE = np.float32
+#: Rows of a packed block; positions of a flight that are put in order together; rows predicted at once.
+PACK, CHUNK, SLICE = 64, 65_536, 500
 
 
 @dataclass(frozen=True)
@@ -59,8 +65,10 @@ class Ensemble:
     activation: str
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z = (x - self.mean) / self.scale
-        out = np.stack([forward(z, m, self.activation)[-1][:, 0] for m in self.members])
+        z, out = (x - self.mean) / self.scale, np.empty((len(self.members), len(x)))
+        for at in range(0, len(x), SLICE):  # few enough rows to stay in the processor's cache
+            for own, m in zip(out, self.members):
+                own[at : at + SLICE] = forward(z[at : at + SLICE], m, self.activation)[:, 0]
         return out.mean(axis=0), out.std(axis=0)
 
 
@@ -80,109 +88,154 @@ class PINNCalibrationResult:
     linear_config: PipelineConfig = field(default_factory=PipelineConfig)
 
 
+#: Both in place: the activation of z; delta by its slope, from the activation a.
 _ACTIVATIONS = {
-    "relu": (lambda z: np.maximum(z, 0), lambda a: (a > 0).astype(float)),
-    "tanh": (np.tanh, lambda a: 1 - a * a),
-    "logistic": (lambda z: 1 / (1 + np.exp(-z)), lambda a: a * (1 - a)),
-    "identity": (lambda z: z, np.ones_like),
+    "relu": (lambda z: np.maximum(z, np.zeros_like(z), out=z), lambda delta, a: np.multiply(delta, a > 0, out=delta)),
+    "tanh": (lambda z: np.tanh(z, out=z), lambda delta, a: np.multiply(delta, 1 - a * a, out=delta)),
+    "logistic": (lambda z: np.divide(1, 1 + np.exp(-z), out=z), lambda delta, a: np.multiply(delta, a * (1 - a), out=delta)),
+    "identity": (lambda z: z, lambda delta, a: delta),
 }
 
 
-def forward(x: np.ndarray, layers, activation: str) -> list[np.ndarray]:
-    out = [x]
+def forward(x: np.ndarray, layers, activation: str) -> np.ndarray:
     for i, (w, b) in enumerate(layers):
-        z = out[-1] @ w + b
-        out.append(z if i == len(layers) - 1 else _ACTIVATIONS[activation][0](z))
+        x = x @ w
+        x += b
+        if i < len(layers) - 1:
+            _ACTIVATIONS[activation][0](x)
+    return x
+
+
+def _layers(flat: np.ndarray, sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Views of ``flat``, which holds the weights of all layers, then their biases."""
+    out, at, bias = [], 0, sum(a * b for a, b in zip(sizes[:-1], sizes[1:]))
+    for a, b in zip(sizes[:-1], sizes[1:]):
+        out.append((flat[at : at + a * b].reshape(a, b), flat[bias : bias + b]))
+        at, bias = at + a * b, bias + b
     return out
 
 
 def train_member(x: np.ndarray, y: np.ndarray, config: NNConfig, seed: int, penalty: float = 1e-4, pick: np.ndarray | None = None):
     """One perceptron by Adam on squared error, stopping when the loss no longer
     improves (ten epochs in a row).  ``pick``: the rows to train on, all if None."""
-    pick = np.arange(len(x)) if pick is None else pick
+    flat = _descend(np.c_[x, y].astype(SINGLE), np.arange(len(x)) if pick is None else pick, config, seed, penalty)
+    return _layers(flat, [x.shape[1], *config.hidden_layer_sizes, 1])
+
+
+def _descend(held: np.ndarray, pick: np.ndarray, config: NNConfig, seed: int, penalty: float) -> np.ndarray:
+    """All weights, then all biases, after training on the rows ``pick`` of
+    ``held`` (features, then target)."""
     rng = np.random.default_rng(seed)
-    sizes = [x.shape[1], *config.hidden_layer_sizes, 1]
+    sizes = [held.shape[1] - 1, *config.hidden_layer_sizes, 1]
     reach = 6.0 if config.activation != "logistic" else 2.0
-    layers = []
-    for a, b in zip(sizes[:-1], sizes[1:]):
-        bound = math.sqrt(reach / (a + b))
-        layers.append((rng.uniform(-bound, bound, (a, b)), rng.uniform(-bound, bound, b)))
-    flat = [p for layer in layers for p in layer]
-    first, second = [np.zeros_like(p) for p in flat], [np.zeros_like(p) for p in flat]
-    slope = _ACTIVATIONS[config.activation][1]
+    flat = np.empty(sum((a + 1) * b for a, b in zip(sizes[:-1], sizes[1:])), SINGLE)
+    layers, last = _layers(flat, sizes), len(sizes) - 2
+    for w, b in layers:
+        bound = math.sqrt(reach / sum(w.shape))
+        w[:], b[:] = rng.uniform(-bound, bound, w.shape), rng.uniform(-bound, bound, b.shape)
+    grad, first, second, spare = (np.zeros_like(flat) for _ in range(4))
+    grads, n_weights = _layers(grad, sizes), len(flat) - sum(sizes[1:])
+    weights, weights_grad, weights_spare = flat[:n_weights], grad[:n_weights], spare[:n_weights]
+    activate, damp = _ACTIVATIONS[config.activation]
     batch, step, best, stale = min(200, len(pick)), 0, np.inf, 0
+    outs, deltas, ones = [np.empty((batch, s), SINGLE) for s in sizes[1:]], [np.empty((batch, s), SINGLE) for s in sizes[1:-1]], np.ones(batch, SINGLE)
     for _ in range(config.max_iter):
         order, loss = rng.permutation(pick), 0.0
         for at in range(0, len(order), batch):
-            rows = order[at : at + batch]
-            values = forward(x[rows], layers, config.activation)
-            error = values[-1][:, 0] - y[rows]
-            loss += float(error @ error) / 2 + penalty / 2 * sum(float((w * w).sum()) for w, _ in layers)
+            rows = held.take(order[at : at + batch], axis=0)
+            size = len(rows)
+            values = [rows[:, :-1]]
+            for i, (w, b) in enumerate(layers):
+                z = np.dot(values[i], w, out=outs[i][:size])
+                z += b
+                values.append(activate(z) if i < last else z)
+            error = values[-1][:, 0] - rows[:, -1]
+            loss += float(error @ error) / 2 + penalty / 2 * float(weights @ weights)
+            error /= size
             delta = error[:, None]
-            grads = []
-            for i in range(len(layers) - 1, -1, -1):
-                w = layers[i][0]
-                grads += [delta.mean(axis=0), (values[i].T @ delta + penalty * w) / len(rows)]
+            for i in range(last, -1, -1):
+                np.dot(values[i].T, delta, out=grads[i][0])
+                np.dot(ones[:size], delta, out=grads[i][1])
                 if i:
-                    delta = (delta @ w.T) * slope(values[i])
+                    delta = damp(np.dot(delta, layers[i][0].T, out=deltas[i - 1][:size]), values[i])
+            weights_grad += np.multiply(weights, penalty / size, out=weights_spare)
+            # Adam's moments, without their factors 0.1 and 0.001
             step += 1
-            rate = 1e-3 * math.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for p, g, m, v in zip(flat, reversed(grads), first, second):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= rate * m / (np.sqrt(v) + 1e-8)
+            first *= 0.9
+            first += grad
+            second *= 0.999
+            grad *= grad
+            second += grad
+            np.sqrt(second, out=spare)
+            spare += 1e-8 / math.sqrt(0.001)
+            np.divide(first, spare, out=spare)
+            spare *= 1e-3 * math.sqrt(1 - 0.999**step) / (1 - 0.9**step) * 0.1 / math.sqrt(0.001)
+            flat -= spare
+            if step % 100 == 0:  # what decays for good must not become denormal, which is slow
+                for v in (flat, first, second):
+                    v[np.abs(v) < 1e-20] = 0
         loss /= len(order)
         stale = stale + 1 if loss > best - 1e-4 else 0
         best = min(best, loss)
         if stale >= 10:
             break
-    return layers
+    return flat
+
+
+def _packed(rows: DataFrame, features: list[str], target: str, mean: np.ndarray, scale: np.ndarray) -> DataFrame:
+    """Standardised rows in blocks: flight and position of a block's first row,
+    its place among the blocks of its task, and its numbers.  In the order of the
+    first three the blocks hold the rows in theirs."""
+    slim = rows.select(FLIGHT, ROW, F.floor(F.col(ROW) / CHUNK).alias("_chunk"), *features, target)
+    dealt = slim.repartition(FLIGHT, "_chunk").sortWithinPartitions(FLIGHT, ROW, *features, target)
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nth = 0
+        for pdf in batches:
+            held = np.c_[(pdf[features].to_numpy(float) - mean) / scale, pdf[target].to_numpy(float)].astype(SINGLE)
+            keys, at = pdf[[FLIGHT, "_chunk"]], np.arange(len(pdf))
+            new = (keys != keys.shift()).any(axis=1).to_numpy()
+            cuts = np.flatnonzero((at - np.maximum.accumulate(np.where(new, at, 0))) % PACK == 0)
+            data = [held[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(pdf)])]
+            yield pdf[[FLIGHT, ROW]].iloc[cuts].assign(nth=np.arange(nth, nth + len(cuts)), data=data)
+            nth += len(cuts)
+
+    return dealt.mapInPandas(run, f"{FLIGHT} {kind[FLIGHT]}, {ROW} {kind[ROW]}, nth bigint, data binary")
 
 
 def _train(rows: DataFrame, features: list[str], target: str, config: NNConfig, penalty: float) -> Ensemble:
     """All members on bootstrap samples of the same standardised rows."""
-    n, *stats = rows.agg(F.count("*"), *[F.avg(c) for c in features], *[F.stddev_pop(c) for c in features]).first()
+    _, *stats = rows.agg(F.count("*"), *[F.avg(c) for c in features], *[F.stddev_pop(c) for c in features]).first()
     k = len(features)
     mean, scale = np.array(stats[:k], float), np.array(stats[k:], float)
     scale[scale == 0] = 1.0
-    slim = rows.select(FLIGHT, ROW, *features, target)
-    members = slim.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(config.n_estimators - 1))))
+    # written once and read whole by every member's task, so nothing is shuffled per member
+    blocks = checkpointed(_packed(rows, features, target, mean, scale)).rdd.coalesce(1)
+
+    def fit(member: int):
+        def run(parts: Iterator) -> Iterator[tuple[int, np.ndarray]]:
+            with tempfile.NamedTemporaryFile(prefix="fluxspan-nn-") as scratch:
+                marks, at = [], 0
+                for flight, row, nth, data in parts:
+                    n = scratch.write(data) // (SINGLE().itemsize * (k + 1))
+                    marks.append((flight, row, nth, at, n))
+                    at += n
+                scratch.flush()
+                held = np.asarray(np.memmap(scratch.name, SINGLE, "r")).reshape(-1, k + 1)
+                place = np.concatenate([np.arange(a, a + n) for *_, a, n in sorted(marks)])
+                del marks
+                seed = config.random_state + member
+                pick = place[np.random.default_rng(seed).integers(0, len(held), len(held))]
+                del place
+                yield member, _descend(held, pick, config, seed, penalty)
+
+        return run
+
+    # neither sorted nor ranged by Spark, which would train all members a second time to sample the keys
+    found = dict(rows.sparkSession.sparkContext.union([blocks.mapPartitions(fit(i)) for i in range(config.n_estimators)]).collect())
     sizes = [k, *config.hidden_layer_sizes, 1]
-
-    def fit(member: int, scratch) -> pd.DataFrame:
-        scratch.flush()
-        held = np.memmap(scratch.name, np.float64, "r").reshape(-1, k + 1)
-        seed = config.random_state + member
-        pick = np.random.default_rng(seed).integers(0, len(held), len(held))
-        layers = train_member(held[:, :k], held[:, k], config, seed, penalty, pick)
-        return pd.DataFrame([{"member": member, "weights": np.concatenate([p.ravel() for layer in layers for p in layer]).tolist()}])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, scratch = None, None
-        for pdf in batches:
-            for member, own in pdf.groupby("member"):
-                if member != now:
-                    if scratch is not None:
-                        yield fit(now, scratch)
-                        scratch.close()
-                    now, scratch = int(member), tempfile.NamedTemporaryFile(prefix="fluxspan-nn-")
-                x = (own[features].to_numpy(float) - mean) / scale
-                scratch.write(np.c_[x, own[target].to_numpy(float)].tobytes())
-        if scratch is not None:
-            yield fit(now, scratch)
-            scratch.close()
-
-    dealt = members.repartitionById(config.n_estimators, F.col("member")).sortWithinPartitions("member", FLIGHT, ROW, *features, target)
-    found = dealt.mapInPandas(run, "member int, weights array<double>").orderBy("member").collect()
-
-    def unpack(flat: list[float]):
-        v, layers, at = np.array(flat), [], 0
-        for a, b in zip(sizes[:-1], sizes[1:]):
-            layers.append((v[at : at + a * b].reshape(a, b), v[at + a * b : at + a * b + b]))
-            at += a * b + b
-        return layers
-
-    return Ensemble(mean, scale, [unpack(r["weights"]) for r in found], config.activation)
+    return Ensemble(mean, scale, [_layers(found[i].astype(float), sizes) for i in range(config.n_estimators)], config.activation)
 
 
 def with_prediction(df: DataFrame, ensemble: Ensemble, features: list[str], mean: str = "nn_mean", std: str = "nn_std") -> DataFrame:

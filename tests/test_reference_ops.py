@@ -382,6 +382,39 @@ def test_members_draw_from_all_rows(spark, monkeypatch):
     assert not any(hasattr(c, "max_training_rows") for c in seen)
 
 
+def test_each_member_is_trained_once(spark, tmp_path):
+    log = str(tmp_path / "fits")
+
+    class Rounds:
+        def __index__(self):  # asked for by each training
+            with open(log, "a") as f:
+                f.write("x")
+            return 2
+
+    pdf = random_directions(120, seed=6)
+    nn.calibrate_nn(spark.createDataFrame(pdf), segments(spark, ("steady", "N", 0, 120)), nn.NNConfig(hidden_layer_sizes=(4,), n_estimators=3, max_iter=Rounds()))
+    assert open(log).read() == "xxx"
+
+
+def test_rows_are_packed_once_and_in_order(spark):
+    pdf = pd.concat([random_directions(n, seed=n).assign(flight_id=i) for i, n in enumerate((150, 1, 70))])
+    df = spark.createDataFrame(pdf.sample(frac=1, random_state=0)).repartition(4)
+    blocks = nn._packed(df, ["B_x", "B_y", "B_z"], "delta_B", np.zeros(3), np.full(3, 50_000.0)).collect()
+    held = np.frombuffer(b"".join(b.data for b in sorted(blocks)), nn.SINGLE).reshape(-1, 4)
+    assert np.allclose(held, np.c_[pdf[["B_x", "B_y", "B_z"]] / 50_000, pdf.delta_B], atol=1e-6)
+
+
+def test_single_precision_fits_as_double_does(monkeypatch):
+    pdf = random_directions(2000, seed=7, noise=0.1)
+    x = pdf[["B_x", "B_y", "B_z"]].to_numpy() / 30_000
+    for activation in ("relu", "tanh", "logistic", "identity"):
+        config, left = nn.NNConfig(hidden_layer_sizes=(16, 8), activation=activation, max_iter=40), {}
+        for kind in (np.float32, np.float64):
+            monkeypatch.setattr(nn, "SINGLE", kind)
+            left[kind] = np.std(nn.forward(x, nn.train_member(x, pdf.delta_B, config, 3), activation)[:, 0] - pdf.delta_B)
+        assert left[np.float32] == pytest.approx(left[np.float64], rel=0.02) and left[np.float32] < 0.5 * pdf.delta_B.std()
+
+
 def test_whole_pipeline(spark):
     df = validate_dataframe(spark.createDataFrame(synthetic_flight()))
     config = PipelineConfig(model_terms="b", earth_field_method="steady_mean", segment_label_col="segment")
