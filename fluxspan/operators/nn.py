@@ -239,16 +239,16 @@ def _train(rows: DataFrame, features: list[str], target: str, config: NNConfig,
 
 
 def with_prediction(df: DataFrame, ensemble: Ensemble, features: list[str], mean: str = "nn_mean", std: str = "nn_std") -> DataFrame:
-    """Adds the ensemble's mean and population spread, batch by batch."""
-    names = df.columns
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    """Adds the ensemble's mean and population spread, batch by batch; only the
+    features go through Python."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            m, s = ensemble.predict(pdf[features].to_numpy(float))
-            yield pdf[names].assign(**{mean: m, std: s})
+    @F.pandas_udf("mean double, std double")
+    def predicted(*columns: pd.Series) -> pd.DataFrame:
+        m, s = ensemble.predict(np.column_stack([c.to_numpy(float) for c in columns]))
+        return pd.DataFrame({"mean": m, "std": s})
 
-    return df.mapInPandas(run, f"{ddl}, {mean} double, {std} double")
+    names = df.columns
+    return df.withColumn("_predicted", predicted(*features)).select(*names, F.col("_predicted.mean").alias(mean), F.col("_predicted.std").alias(std))
 
 
 def _checked(df: DataFrame, segments: DataFrame, config: NNConfig) -> DataFrame:

@@ -415,6 +415,16 @@ def test_single_precision_fits_as_double_does(monkeypatch):
         assert left[np.float32] == pytest.approx(left[np.float64], rel=0.02) and left[np.float32] < 0.5 * pdf.delta_B.std()
 
 
+def test_only_features_go_through_python(spark):
+    pdf = random_directions(100, seed=8)
+    df, s = spark.createDataFrame(pdf), segments(spark, ("steady", "N", 0, 100))
+    result = nn.calibrate_nn(df, s, nn.NNConfig(hidden_layer_sizes=(4,), n_estimators=2, max_iter=2))
+    unread = df.withColumn("unread", F.raise_error(F.lit("was read")).cast("string"))
+    got = nn.predict_nn(unread, result).select("row_idx", "nn_mean", "nn_std").toPandas().sort_values("row_idx")
+    mean, std = result.ensemble.predict(pdf[["B_x", "B_y", "B_z"]].to_numpy())
+    assert np.allclose(got.nn_mean, mean) and np.allclose(got.nn_std, std)
+
+
 def test_whole_pipeline(spark):
     df = validate_dataframe(spark.createDataFrame(synthetic_flight()))
     config = PipelineConfig(model_terms="b", earth_field_method="steady_mean", segment_label_col="segment")
