@@ -396,6 +396,21 @@ def test_each_member_is_trained_once(spark, tmp_path):
     assert open(log).read() == "xxx"
 
 
+def test_each_member_above_the_linear_model_is_trained_once(spark, tmp_path):
+    log = str(tmp_path / "fits")
+
+    class Rounds:
+        def __index__(self):  # asked for by each training
+            with open(log, "a") as f:
+                f.write("x")
+            return 2
+
+    pdf = random_directions(120, seed=6)
+    config = nn.PINNConfig(hidden_layer_sizes=(4,), n_estimators=2, max_iter=Rounds(), tl_model_terms="a")
+    nn.calibrate_pinn(spark.createDataFrame(pdf), segments(spark, ("steady", "N", 0, 120)), config)
+    assert open(log).read() == "xx"
+
+
 def test_rows_are_packed_once_and_in_order(spark):
     pdf = pd.concat([random_directions(n, seed=n).assign(flight_id=i) for i, n in enumerate((150, 1, 70))])
     df = spark.createDataFrame(pdf.sample(frac=1, random_state=0)).repartition(4)
