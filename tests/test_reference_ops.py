@@ -411,6 +411,27 @@ def test_each_member_above_the_linear_model_is_trained_once(spark, tmp_path):
     assert open(log).read() == "xx"
 
 
+def test_members_trained_side_by_side_end_as_alone():
+    pdf = random_directions(900, seed=9, noise=0.1)
+    held = np.c_[pdf[["B_x", "B_y", "B_z"]] / 30_000, pdf.delta_B / pdf.delta_B.std()].astype(nn.SINGLE)
+    picks = [np.random.default_rng(i).integers(0, len(held), 450) for i in range(3)]
+    for activation in ("relu", "tanh", "logistic", "identity"):
+        config = nn.NNConfig(hidden_layer_sizes=(8, 6), activation=activation, max_iter=400)
+        together = nn._descend(held, picks, config, [5, 6, 7], 1e-3)
+        for i, flat in enumerate(together):  # they stop in different epochs
+            (alone,) = nn._descend(held, picks[i : i + 1], config, [5 + i], 1e-3)
+            assert np.allclose(flat, alone, atol=2e-2)
+    assert nn._groups(20, 8) == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9, 10, 11], [12, 13], [14, 15], [16, 17], [18, 19]]
+    assert [len(g) for g in nn._groups(20, 4)] == [3] * 4 + [2] * 4 and [len(g) for g in nn._groups(20, 64)] == [1] * 20
+
+
+def test_repeated_segments_count_as_often_as_listed_above_the_linear_model(spark):
+    s = segments(spark, ("steady", "N", 0, 120))
+    config = nn.PINNConfig(hidden_layer_sizes=(4,), n_estimators=2, max_iter=2, tl_model_terms="a")
+    result = nn.calibrate_pinn(spark.createDataFrame(random_directions(120, seed=6)), s.union(s), config)
+    assert result.linear.residuals.count() == result.residuals.count() == 240
+
+
 def test_rows_are_packed_once_and_in_order(spark):
     pdf = pd.concat([random_directions(n, seed=n).assign(flight_id=i) for i, n in enumerate((150, 1, 70))])
     df = spark.createDataFrame(pdf.sample(frac=1, random_state=0)).repartition(4)
